@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from bazaarlens.functions.numbers import ratio
 from bazaarlens.operators.ordering import running_totals
+from bazaarlens.session import cut_lineage
+
+
+def grouped_values(df: DataFrame, group: str, value: str, blank: str | None = "unknown") -> DataFrame:
+    label = F.col(group) if blank is None else F.coalesce(F.col(group).cast("string"), F.lit(blank))
+    return df.groupBy(label.alias(group)).agg(F.sum(value).alias(value))
 
 
 def concentration(df: DataFrame, group: str, value: str, blank: str | None = "unknown") -> DataFrame:
     """Sum ``value`` by ``group``; add share, cumulative share and rank, largest
     first, ties by group. A null group is named ``blank``; None keeps the type of
     the group column and expects it filled."""
-    label = F.col(group) if blank is None else F.coalesce(F.col(group).cast("string"), F.lit(blank))
-    grouped = df.groupBy(label.alias(group)).agg(F.sum(value).alias(value))
+    grouped = grouped_values(df, group, value, blank)
     ranked = running_totals(grouped, [F.col(value).desc(), F.col(group).asc()], {"upto": value})
     return ranked.select(
         group,
@@ -24,5 +29,19 @@ def concentration(df: DataFrame, group: str, value: str, blank: str | None = "un
     )
 
 
+def top_share(df: DataFrame, group: str, value: str, sizes: tuple[int, ...]) -> DataFrame:
+    """One row: percent of the total held by the largest groups, one column
+    ``top_n`` per size. Needs only the largest rows in order (a limit), no ranking."""
+    grouped = cut_lineage(grouped_values(df, group, value))  # read for the total and for the top
+    order = [F.col(value).desc(), F.col(group).asc()]
+    largest = grouped.orderBy(*order).limit(max(sizes))
+    # The window runs over at most max(sizes) rows.
+    placed = largest.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+    held = placed.agg(F.struct(*[F.sum(F.when(F.col("place") <= n, F.col(value))).alias(f"top_{n}") for n in sizes]))
+    tops = held.scalar()
+    whole = grouped.agg(F.sum(value).alias("total"))
+    return whole.select(*[(ratio(tops[f"top_{n}"], F.col("total")) * 100).alias(f"top_{n}") for n in sizes])
+
+
 def top_rows(ranked: DataFrame, n: int, rank: str = "rank") -> DataFrame:
     return ranked.where(F.col(rank) <= n)

@@ -152,7 +152,8 @@ def _design(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     complete = df.select(
         F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]
     ).dropna()
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(complete)
+    # Fitting reads the rows several times: keep one written copy of them.
+    return VectorAssembler(inputCols=list(features), outputCol="features").transform(cut_lineage(complete))
 
 
 def ols(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
@@ -162,7 +163,7 @@ def ols(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
         "term string, coef double, pvalue double, stderr double, tvalue double, "
         "r_squared double, adj_r_squared double, n_obs bigint"
     )
-    design = cut_lineage(_design(df, target, features))
+    design = _design(df, target, features)
     if len(design.take(len(features) + 3)) < len(features) + 3:
         return df.sparkSession.createDataFrame([], schema)
     model = LinearRegression(solver="normal", regParam=0.0, fitIntercept=True).fit(design)
@@ -192,7 +193,7 @@ def logit(df: DataFrame, target: str, feature: str) -> DataFrame:
         "status string, n_obs bigint, events bigint, coef double, pvalue double, odds_ratio double, pseudo_r2 double"
     )
     spark = df.sparkSession
-    design = cut_lineage(_design(df, target, [feature]))
+    design = _design(df, target, [feature])
     facts = design.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("events")).first()
     n, events = facts["n"], int(facts["events"] or 0)
     if n == 0 or events in (0, n):

@@ -8,18 +8,18 @@ from bazaarlens.operators.concentration import concentration
 from bazaarlens.plans.model import Model
 
 
-def _customer_revenue(model: Model) -> DataFrame:
+def customer_revenue(model: Model) -> DataFrame:
     """Delivered revenue folded to customers before the customer attributes are joined."""
     per_customer = model.order_core.groupBy("customer_id").agg(F.sum("order_revenue").alias("item_revenue"))
     return per_customer.join(model.customers, "customer_id", "left")
 
 
 def concentration_city(model: Model) -> DataFrame:
-    return concentration(_customer_revenue(model), "customer_city", "item_revenue")
+    return concentration(customer_revenue(model), "customer_city", "item_revenue")
 
 
 def concentration_state(model: Model) -> DataFrame:
-    return concentration(_customer_revenue(model), "customer_state", "item_revenue")
+    return concentration(customer_revenue(model), "customer_state", "item_revenue")
 
 
 def concentration_seller(model: Model) -> DataFrame:

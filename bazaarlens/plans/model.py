@@ -17,6 +17,7 @@ from bazaarlens.functions import dates, text
 from bazaarlens.functions.numbers import clip_low
 from bazaarlens.operators.months import complete_bounds
 from bazaarlens.operators.ordering import sequence_within
+from bazaarlens.session import cut_lineage
 from bazaarlens.settings import Settings
 
 ORDER_DATES = (
@@ -41,10 +42,26 @@ class Model:
         settings: Settings = Settings(),
         stored: Mapping[str, DataFrame] | None = None,
     ):
-        self.tables = dict(tables)
+        self.tables = tables
         self.settings = settings
-        for name, df in (stored or {}).items():
-            self.__dict__[name] = df  # takes the place of the cached property
+        self.stored = dict(stored or {})
+        self.__dict__.update(self.stored)  # takes the place of the cached properties
+
+    def storing(self, name: str, df: DataFrame) -> "Model":
+        """A model that reads ``df`` for the derived table ``name``."""
+        stored = {**self.stored, name: df}
+        if name == "order_base":
+            # It holds every column of the narrower order tables.
+            stored.update(dict.fromkeys(("order_reviewed", "order_core", "delivered"), df))
+        return Model(self.tables, self.settings, stored)
+
+    @cached_property
+    def with_orders_kept(self) -> "Model":
+        """For queries that read order facts several times: the fact joins run
+        once and the rest reads the written copy."""
+        if "order_base" in self.stored:
+            return self
+        return self.storing("order_base", cut_lineage(self.order_base))
 
     @property
     def spark(self):
@@ -185,15 +202,16 @@ class Model:
 
     @cached_property
     def order_level(self) -> DataFrame:
+        kept = self.with_orders_kept
         numbered = sequence_within(
-            self.order_base,
+            kept.order_base,
             key="customer_unique_id",
             when="order_purchase_timestamp",
             tie="order_id",
             position="customer_order_sequence",
             total="customer_total_orders",
         )
-        threshold = self.negative_threshold.select("negative_review_threshold").scalar()
+        threshold = kept.negative_threshold.select("negative_review_threshold").scalar()
         return numbered.withColumns(
             {
                 "is_repurchase_order": F.col("customer_order_sequence") > 1,
@@ -291,6 +309,23 @@ class Model:
         )
 
     # ---------------------------------------------------------------- reduced
+    @cached_property
+    def seller_month(self) -> DataFrame:
+        """(month, seller) sums. An order has one delivery month, so distinct
+        orders of a seller add up over months."""
+        return self.seller_order_core.groupBy("month", "seller_id").agg(
+            F.sum("seller_order_revenue").alias("revenue"),
+            F.count(F.lit(1)).alias("orders"),
+            F.sum("seller_item_count").alias("items"),
+            F.min("reference_timestamp").alias("first_delivery"),
+            F.max("reference_timestamp").alias("last_delivery"),
+        )
+
+    @cached_property
+    def seller_month_kept(self) -> DataFrame:
+        """One written copy: seller totals and monthly shares both read it."""
+        return self.seller_month if "seller_month" in self.stored else cut_lineage(self.seller_month)
+
     @cached_property
     def daily_revenue(self) -> DataFrame:
         return self.order_core.groupBy(F.col("reference_date").alias("purchase_date")).agg(

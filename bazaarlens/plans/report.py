@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarlens.functions import text
-from bazaarlens.operators.concentration import top_rows
+from bazaarlens.operators.concentration import top_rows, top_share
 from bazaarlens.plans import growth, logistics, repurchase, seller_risk, strategic
 from bazaarlens.plans.model import Model
 
@@ -52,31 +52,24 @@ def _as_struct(one_row: DataFrame) -> Column:
     return one_row.select(F.struct(*one_row.columns)).scalar()
 
 
-def _top_share(ranked: DataFrame, n: int) -> Column:
-    return ranked.agg(F.sum(F.when(F.col("rank") <= n, F.col("share"))) * 100).scalar()
-
-
 def kpi_summary(model: Model) -> DataFrame:
     """One row of headline figures, built from scalar subqueries (no joins)."""
-    cities = growth.concentration_city(model)
-    categories = growth.concentration_category(model)
-    sellers = growth.concentration_seller(model)
+    model = model.with_orders_kept
+    categories = growth.category_revenue(model, model.delivered_items)
     performance = strategic.seller_performance(model)
     return model.spark.range(1).select(
-        _top_share(cities, 1).alias("city_top1_share_pct"),
-        _top_share(cities, 10).alias("city_top10_share_pct"),
-        _top_share(categories, 5).alias("category_top5_share_pct"),
-        _top_share(categories, 10).alias("category_top10_share_pct"),
-        _top_share(sellers, 10).alias("seller_top10_share_pct"),
+        _as_struct(top_share(growth.customer_revenue(model), "customer_city", "item_revenue", (1, 10))).alias("_city"),
+        _as_struct(top_share(categories, "product_category_final", "item_revenue", (5, 10))).alias("_category"),
+        _as_struct(top_share(model.delivered_items, "seller_id", "item_revenue", (10,))).alias("_seller"),
         _as_struct(logistics.delay_vs_review(model)).alias("_reviews"),
         _as_struct(repurchase.repurchase_kpis(model)).alias("_customers"),
         _as_struct(strategic.strategic_shares(model, performance)).alias("_strategic"),
     ).select(
-        "city_top1_share_pct",
-        "city_top10_share_pct",
-        "category_top5_share_pct",
-        "category_top10_share_pct",
-        "seller_top10_share_pct",
+        F.col("_city.top_1").alias("city_top1_share_pct"),
+        F.col("_city.top_10").alias("city_top10_share_pct"),
+        F.col("_category.top_5").alias("category_top5_share_pct"),
+        F.col("_category.top_10").alias("category_top10_share_pct"),
+        F.col("_seller.top_10").alias("seller_top10_share_pct"),
         "_reviews.general_mean_review",
         "_reviews.on_time_mean_review",
         "_reviews.delayed_mean_review",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from bazaarlens.functions.numbers import clip_low, ratio
 from bazaarlens.operators.concentration import concentration
@@ -10,6 +10,7 @@ from bazaarlens.operators.control_charts import bubble_sizes
 from bazaarlens.operators.ordering import running_totals
 from bazaarlens.plans.logistics import global_review_gap
 from bazaarlens.plans.model import Model
+from bazaarlens.session import cut_lineage
 
 
 def seller_scores(model: Model, min_orders: int | None = None) -> DataFrame:
@@ -52,28 +53,37 @@ def seller_risk(model: Model, min_orders: int | None = None) -> DataFrame:
     return ranked.withColumnRenamed("position", "risk_rank").drop("position_total")
 
 
-def eligible_sellers(risk: DataFrame) -> DataFrame:
-    """Sellers with enough orders; all of them when none has."""
-    any_eligible = risk.agg(F.coalesce(F.bool_or("eligible_risk_ranking"), F.lit(False))).scalar()
-    return risk.where(F.col("eligible_risk_ranking") | ~any_eligible)
+def eligible_scores(model: Model, min_orders: int | None = None) -> DataFrame:
+    """Scores of sellers with enough orders; all of them when none has. Written
+    once, because the check for "none" is a second reading."""
+    scores = cut_lineage(seller_scores(model, min_orders))
+    any_eligible = scores.agg(F.coalesce(F.bool_or("eligible_risk_ranking"), F.lit(False))).scalar()
+    return scores.where(F.col("eligible_risk_ranking") | ~any_eligible)
 
 
 def risk_pareto(model: Model, min_orders: int | None = None) -> DataFrame:
-    return concentration(eligible_sellers(seller_scores(model, min_orders)), "seller_id", "risk_score")
+    return concentration(eligible_scores(model, min_orders), "seller_id", "risk_score")
 
 
 def top_detractors(model: Model, n: int = 10, min_orders: int | None = None) -> DataFrame:
-    """The ``n`` riskiest eligible sellers: an ordered limit, no full ranking."""
-    risky = eligible_sellers(seller_scores(model, min_orders))
+    """The ``n`` riskiest eligible sellers: an ordered limit, no full ranking.
+
+    Eligible sellers come first, so ineligible ones can only be kept by the limit
+    when fewer than ``n`` are eligible; they then count only if nobody is."""
+    eligible = F.col("eligible_risk_ranking")
+    order = [eligible.desc(), F.col("risk_score").desc(), F.col("seller_id").asc()]
+    first = seller_scores(model, min_orders).orderBy(*order).limit(n)
+    # The window runs over at most n rows.
+    anyone = F.bool_or(eligible).over(Window.partitionBy())
     return (
-        risky.orderBy(F.col("risk_score").desc(), F.col("seller_id").asc())
-        .limit(n)
+        first.withColumn("_anyone", anyone)
+        .where(eligible | ~F.col("_anyone"))
         .select("seller_id", "seller_orders", "late_rate", "avg_delay_days", "avg_review_score", "risk_score")
     )
 
 
 def risk_bubbles(model: Model, min_orders: int | None = None) -> DataFrame:
-    risky = eligible_sellers(seller_scores(model, min_orders))
+    risky = eligible_scores(model, min_orders)
     return bubble_sizes(risky, "late_rate", "seller_orders", "impact_on_review").select(
         "seller_id", "late_rate", "seller_orders", "impact_on_review", "bubble_size"
     )

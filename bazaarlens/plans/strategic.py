@@ -21,10 +21,10 @@ def seller_performance(model: Model) -> DataFrame:
 
     The flag goes to the best scores; ties prefer higher revenue, then the seller id.
     """
-    totals = model.seller_order_core.groupBy("seller_id").agg(
-        F.sum("seller_order_revenue").alias("total_revenue"),
-        F.count(F.lit(1)).alias("total_orders"),
-        F.sum("seller_item_count").alias("total_items"),
+    totals = model.seller_month_kept.groupBy("seller_id").agg(
+        F.sum("revenue").alias("total_revenue"),
+        F.sum("orders").alias("total_orders"),
+        F.sum("items").alias("total_items"),
     )
     ranked = value_ranks(cut_lineage(totals), list(WEIGHTS))
     percent = {f"{m}_pct_rank": F.col(f"{m}_avg_rank") / F.col(f"{m}_rank_rows") for m in WEIGHTS}
@@ -35,7 +35,6 @@ def seller_performance(model: Model) -> DataFrame:
         .withColumn("strategic_score", sum(F.col(name) for name in weighted))
         .select("seller_id", *WEIGHTS, *percent, *weighted, "strategic_score")
     )
-    scored = cut_lineage(scored)
     best = (
         scored.orderBy(F.col("strategic_score").desc(), F.col("total_revenue").desc(), F.col("seller_id").asc())
         .limit(model.settings.strategic_sellers)
@@ -52,15 +51,8 @@ def strategic_monthly(model: Model, performance: DataFrame | None = None) -> Dat
     sellers counts once for each of them."""
     performance = seller_performance(model) if performance is None else performance
     chosen = performance.where("strategic_seller").select("seller_id", F.lit(True).alias("strategic"))
-    monthly_seller = model.seller_order_core.groupBy("month", "seller_id").agg(
-        F.sum("seller_order_revenue").alias("revenue"),
-        F.count(F.lit(1)).alias("orders"),
-        F.sum("seller_item_count").alias("items"),
-        F.min("reference_timestamp").alias("first_delivery"),
-        F.max("reference_timestamp").alias("last_delivery"),
-    )
     # At most `strategic_sellers` chosen rows: safe to broadcast.
-    flagged = monthly_seller.join(F.broadcast(chosen), "seller_id", "left")
+    flagged = model.seller_month_kept.join(F.broadcast(chosen), "seller_id", "left")
     strategic = F.coalesce("strategic", F.lit(False))
     metrics = ("revenue", "orders", "items")
     monthly = flagged.groupBy("month").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,20 +25,28 @@ def build_session(app: str = "bazaarlens", master: str | None = None, **options:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``. A temporary one
+    is made only for a local master without that setting."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="bazaarlens-"))
+    return context.getCheckpointDir()
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it back from there.
+    """Write ``df`` as a table in the shared folder and read it back.
 
-    Used where a frame is read twice and both reads must see the same bits
-    (sums of doubles and range boundaries may differ between two evaluations).
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; a
-    temporary one is made only for a local master without that setting.
+    Used where a frame is read twice and both reads must see the same bits (sums
+    of doubles and range borders may differ between two evaluations), or where a
+    lost executor must not bring back a long computation. Unlike ``checkpoint``
+    this computes the frame once, and later joins know its size.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir")
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="bazaarlens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/bazaarlens/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
