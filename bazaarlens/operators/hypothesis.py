@@ -140,7 +140,11 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair of columns on complete rows, long form."""
     complete = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
     pairs = [(a, b) for a in columns for b in columns]
-    one_row = complete.agg(*[F.corr(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+
+    def pearson(a: str, b: str) -> Column:
+        return ratio(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # null for a constant column
+
+    one_row = complete.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
     cells = [
         F.struct(F.lit(a).alias("row"), F.lit(b).alias("column"), F.col(f"r{i}").alias("correlation"))
         for i, (a, b) in enumerate(pairs)
@@ -171,18 +175,13 @@ def ols(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
     # MLlib lists the intercept last.
     names = [*features, "const"]
     coefficients = [*model.coefficients.toArray().tolist(), model.intercept]
+    try:
+        tests = list(zip(summary.pValues, summary.coefficientStandardErrors, summary.tValues))
+    except Exception:  # collinear features have no standard errors
+        tests = [(None, None, None)] * len(names)
     rows = [
-        (
-            names[i],
-            float(coefficients[i]),
-            float(summary.pValues[i]),
-            float(summary.coefficientStandardErrors[i]),
-            float(summary.tValues[i]),
-            float(summary.r2),
-            float(summary.r2adj),
-            int(summary.numInstances),
-        )
-        for i in range(len(names))
+        (name, float(coefficient), *test, float(summary.r2), float(summary.r2adj), int(summary.numInstances))
+        for name, coefficient, test in zip(names, coefficients, tests)
     ]
     return df.sparkSession.createDataFrame(rows, schema)
 
