@@ -26,11 +26,15 @@ _MONEY = re.compile(
 _RATIO = re.compile(r"share|percentual|rate|pct|growth|revenue_trend|rank|weight|score|cum_")
 _MONEY_MEAN = re.compile(r"ticket|order_value")
 _FREIGHT = re.compile(r"freight")
+# Products of a mean: cents lie below what two engines agree on, so whole units.
+_PROJECTED = re.compile(r"projected|simulated")
 
 
 def _digits(name: str) -> int:
     if _FREIGHT.search(name):
         return 4
+    if _PROJECTED.search(name) and not _RATIO.search(name):
+        return 0
     return 2 if _MONEY.search(name) and not _RATIO.search(name) else 6
 
 

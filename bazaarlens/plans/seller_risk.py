@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bazaarlens.functions.numbers import clip_low, ratio
 from bazaarlens.operators.concentration import concentration
@@ -46,10 +46,19 @@ def seller_scores(model: Model, min_orders: int | None = None) -> DataFrame:
     )
 
 
+# Equal scores may differ in the last bits, which depend on the order of summing:
+# sellers are compared on this many digits and tie by id.
+SCORE_DIGITS = 9
+
+
+def _ranking() -> list[Column]:
+    score = F.round("risk_score", SCORE_DIGITS)
+    return [F.col("eligible_risk_ranking").desc(), score.desc(), F.col("seller_id").asc()]
+
+
 def seller_risk(model: Model, min_orders: int | None = None) -> DataFrame:
     """Eligible sellers first, highest score first, ties by seller."""
-    order = [F.col("eligible_risk_ranking").desc(), F.col("risk_score").desc(), F.col("seller_id").asc()]
-    ranked = running_totals(seller_scores(model, min_orders), order)
+    ranked = running_totals(seller_scores(model, min_orders), _ranking())
     return ranked.withColumnRenamed("position", "risk_rank").drop("position_total")
 
 
@@ -71,8 +80,7 @@ def top_detractors(model: Model, n: int = 10, min_orders: int | None = None) ->
     Eligible sellers come first, so ineligible ones can only be kept by the limit
     when fewer than ``n`` are eligible; they then count only if nobody is."""
     eligible = F.col("eligible_risk_ranking")
-    order = [eligible.desc(), F.col("risk_score").desc(), F.col("seller_id").asc()]
-    first = seller_scores(model, min_orders).orderBy(*order).limit(n)
+    first = seller_scores(model, min_orders).orderBy(*_ranking()).limit(n)
     # The window runs over at most n rows.
     anyone = F.bool_or(eligible).over(Window.partitionBy())
     return (

@@ -573,11 +573,11 @@ SELECT late_reduction, repurchase_increase, seller_expansion, round((projected -
 FROM results""",
     "m47_forecast_baseline": "SELECT year_month, round(b, 2) AS forecast_baseline FROM forecast",
     "m48_forecast_simulated": """
-SELECT year_month, late_reduction, repurchase_increase, seller_expansion, round(b * (1 + impact), 2) AS forecast_simulated
+SELECT year_month, late_reduction, repurchase_increase, seller_expansion, round(b * (1 + impact), 0) AS forecast_simulated
 FROM forecast, grid""",
     "m49_shown_history": "SELECT ym AS year_month, round(v, 2) AS shown_revenue FROM month_sales, valid_month WHERE e <= m",
     "m50_projected_3_months": """
-SELECT late_reduction, repurchase_increase, seller_expansion, round(projected, 2) AS projected_3_months FROM results""",
+SELECT late_reduction, repurchase_increase, seller_expansion, round(projected, 0) AS projected_3_months FROM results""",
     "m51_simulation_text": """
 SELECT late_reduction, repurchase_increase, seller_expansion,
  'Com redução de atraso de ' || late_reduction || '%, aumento de recompra de ' || repurchase_increase ||
@@ -587,7 +587,7 @@ SELECT late_reduction, repurchase_increase, seller_expansion,
  coalesce(format('{:.1f}%', round((projected - base) / base * 100, 1)), '') || ' sobre o baseline.' AS simulation_text
 FROM results""",
     "m52_projected_gain": """
-SELECT late_reduction, repurchase_increase, seller_expansion, round(projected - base, 2) AS projected_gain FROM results""",
+SELECT late_reduction, repurchase_increase, seller_expansion, round(projected - base, 0) AS projected_gain FROM results""",
     "m53_simulation_impact": """
 SELECT late_reduction, repurchase_increase, seller_expansion, round(impact, 6) AS impact, round(base, 2) AS baseline_3_months
 FROM results""",
