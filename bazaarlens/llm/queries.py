@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import chat, sharding, urls, warc
-from bazaarlens.llm.tables import read
+from bazaarlens.llm import chat, langid, sentencepiece, sharding, urls, warc
+from bazaarlens.llm.tables import fold_residue, read
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLE_CONVERSATION = -7
 SAMPLE_TEXT = "</s>[INST] ok [/INST]"
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> DataFrame:
+    """Ids of every text, and whether decoding gives the text again."""
+    pieces = sentencepiece.load_pieces(path)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        "ids",
+        F.length("decoded").cast("long").alias("decoded_chars"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from the formatted conversations."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -72,6 +87,22 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_documents(docs: DataFrame) -> DataFrame:
+    """The training fold: documents whose crc32 of the id is not 2 modulo 4."""
+    return docs.where((fold_residue(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull())
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(labelled_documents(docs))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id",
+        (fold_residue(F.col("doc_id"), 4) == 2).alias("held_out"),
+        "lang_pred",
+        F.col("lang_score").alias("score"),
+    )
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archive(read(spark, sf_dir, "pages"))
     return warc.read_archive(spark, folder).select(
@@ -85,5 +116,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_chat_formatting, op5_url_filters, op7_sharding, op10_warc)
+    f.__name__: f for f in (
+        op1_sentencepiece,
+        op4_chat_formatting,
+        op5_url_filters,
+        op7_sharding,
+        op8_language_id,
+        op10_warc,
+    )
 }
