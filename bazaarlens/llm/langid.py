@@ -140,7 +140,8 @@ def train(labelled: DataFrame) -> Model:
         F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.col("lang") != UNKNOWN)
     )
     # The sample is chosen by id before any text moves, then its texts are joined.
-    docs = _sampled(usable, ("doc_id",), DOCS_PER_LANGUAGE)
+    ids = _sampled(usable.select("doc_id", "lang"), ("doc_id",), DOCS_PER_LANGUAGE).distinct()
+    docs = usable.join(F.broadcast(ids), ["doc_id", "lang"], "left_semi")
     chunks = docs.repartition(16, "doc_id").mapInArrow(
         _chunks, "lang string, doc_id long, at long, features array<float>"
     )

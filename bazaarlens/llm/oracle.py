@@ -59,4 +59,25 @@ SELECT page_id, strlen(html) AS payload_bytes,
 FROM bits
 """
 
-ORACLES = {"op4_chat_formatting": _chat(), "op10_warc": _WARC}
+# The exact search; the codes' error bounds leave no neighbour out in practice.
+_NEAREST = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+    AND list_contains(list_transform(embedding, lambda x: x <> 0), true)
+), pairs AS (
+  SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
+    sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])), lambda s, x: s + x)) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
+  WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+ORACLES = {
+    "op2_nearest_neighbours": _NEAREST,
+    "op4_chat_formatting": _chat(),
+    "op10_warc": _WARC,
+}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import chat, langid, sentencepiece, sharding, urls, warc
+from bazaarlens.llm import chat, decontaminate, langid, near, nearest, sentencepiece, sharding, urls, warc
 from bazaarlens.llm.tables import fold_residue, read
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -29,6 +29,17 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str, path: str = PIECES) -> D
     )
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of every vector whose id is divisible by 100."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return nearest.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class of near copies and number of links of every document."""
+    return near.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of what is read back from the formatted conversations."""
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -103,6 +114,11 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of document and benchmark item that leaks into it."""
+    return decontaminate.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.write_archive(read(spark, sf_dir, "pages"))
     return warc.read_archive(spark, folder).select(
@@ -118,10 +134,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece,
+        op2_nearest_neighbours,
+        op3_ngram_jaccard_join,
         op4_chat_formatting,
         op5_url_filters,
         op7_sharding,
         op8_language_id,
+        op9_benchmark_decontamination,
         op10_warc,
     )
 }

@@ -25,13 +25,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from bazaarlens.llm.words import flat_bytes, slices, texts_of
+from bazaarlens.llm.words import flat_bytes, slices, slices_by, texts_of
 
 MARK = "\u2581"
 # A character without a piece costs this much more than the worst piece.
 UNKNOWN_PENALTY = 10.0
 # Words up to so many bytes share their steps; each longer one is walked alone, to the same result.
 SHARED_BYTES = 64
+# Different words whose lattices are held at once, and ids decoded at once.
+LATTICE_WORDS = 16_384
+DECODED_IDS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -261,7 +264,8 @@ def encode_batch(pieces: Pieces, texts: pa.Array) -> pa.Array:
     bounds = np.asarray(lists.offsets, np.int64)
     bounds = bounds - bounds[0]
     words = lists.flatten().dictionary_encode()
-    ids = encode_words(pieces, words.dictionary).take(words.indices)
+    parts = [encode_words(pieces, words.dictionary.slice(k, LATTICE_WORDS)) for k in range(0, len(words.dictionary), LATTICE_WORDS)]
+    ids = (pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.int32()))).take(words.indices)
     ends = np.asarray(ids.offsets, np.int64)
     kept = (ends - ends[0])[bounds]
     flat = ids.flatten()
@@ -293,12 +297,13 @@ def decode_batch(pieces: Pieces, ids: pa.Array) -> pa.Array:
     return pa.array(texts, pa.large_utf8())
 
 
-def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.DataType, work) -> DataFrame:
+def _mapped(df: DataFrame, out: str, kind: T.DataType, arrow: pa.DataType, column: str, cut, work) -> DataFrame:
+    """``df`` with a column ``out``: ``work`` of ``column`` for each part that ``cut`` makes of a batch; null stays null."""
     schema = T.StructType([*[f for f in df.schema.fields if f.name != out], T.StructField(out, kind)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, column) if kind == IDS else [whole]:
+            for batch in cut(whole):
                 made = pc.if_else(batch.column(column).is_valid(), work(batch).cast(arrow), pa.scalar(None, arrow))
                 names = [n for n in batch.schema.names if n != out]
                 yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], made], [*names, out])
@@ -306,13 +311,21 @@ def _mapped(df: DataFrame, column: str, out: str, kind: T.DataType, arrow: pa.Da
     return df.mapInArrow(run, schema)
 
 
+def _id_slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    sizes = pc.list_value_length(batch.column(column)).fill_null(0)
+    yield from slices_by(batch, sizes.to_numpy(zero_copy_only=False), DECODED_IDS)
+
+
 IDS = T.ArrayType(T.IntegerType())
 
 
 def encode(df: DataFrame, pieces: Pieces, column: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the ids of ``column``; the vocabulary goes to the tasks with the function."""
+    """``df`` with the ids of ``column``; what is broadcast is bounded by the vocabulary, not by the texts."""
     shared = df.sparkSession.sparkContext.broadcast(pieces)
-    return _mapped(df, column, out, IDS, pa.list_(pa.int32()), lambda b: encode_batch(shared.value, texts_of(b, column)))
+    return _mapped(
+        df, out, IDS, pa.list_(pa.int32()), column,
+        lambda b: slices(b, column), lambda b: encode_batch(shared.value, texts_of(b, column)),
+    )
 
 
 def decode(df: DataFrame, pieces: Pieces, column: str = "ids", out: str = "decoded") -> DataFrame:
@@ -323,4 +336,4 @@ def decode(df: DataFrame, pieces: Pieces, column: str = "ids", out: str = "decod
     def work(batch: pa.RecordBatch) -> pa.Array:
         return decode_batch(shared.value, batch.column(column).cast(pa.large_list(pa.int32())).fill_null(empty))
 
-    return _mapped(df, column, out, T.StringType(), pa.string(), work)
+    return _mapped(df, out, T.StringType(), pa.string(), column, lambda b: _id_slices(b, column), work)

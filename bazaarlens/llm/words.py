@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 4_000_000
 
 
 class Words(NamedTuple):
@@ -26,11 +26,16 @@ class Words(NamedTuple):
 
 def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     """Parts of ``batch`` of at most ``SLICE_BYTES`` of text, or of one row."""
-    sizes = pc.binary_length(batch.column(column).cast(pa.large_utf8())).fill_null(0).to_numpy(zero_copy_only=False)
+    sizes = pc.binary_length(batch.column(column).cast(pa.large_utf8())).fill_null(0)
+    yield from slices_by(batch, sizes.to_numpy(zero_copy_only=False), SLICE_BYTES)
+
+
+def slices_by(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` whose rows have ``sizes`` of at most ``most`` together, or of one row."""
     ends = np.cumsum(sizes)
     start, base = 0, 0
     while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, side="right")))
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(start, stop - start)
         start, base = stop, int(ends[stop - 1])
 
