@@ -5,7 +5,8 @@
 2. Classes are shuffled on their band hashes. A bucket is streamed: a member meets
    only the bucket's leaders, so a bucket of near copies costs about as much as it
    has members. A member that agrees with a leader in ``JOIN_SHARE`` of the signature
-   follows it; others become leaders, and leaders above ``LEADER_SHARE`` are tied. By
+   follows it; others become leaders, and leaders above ``LEADER_SHARE`` are tied, by
+   no more edges than members. By
    the triangle inequality of the Jaccard distance (0.1 + 0.2 + 0.1 for the threshold
    0.8, and some for the error of signatures) every similar pair that shares a bucket
    ends up tied.
@@ -157,6 +158,7 @@ def tie(buckets: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leaders, ids = np.zeros((0, size), np.uint8), []
+        tree = np.zeros(0, np.int64)  # the tree of edges that each leader is in
         held = 0
         for batch, starts, goes_on in runs(batches, ["band", "hash"]):
             reps = batch.column("rep").to_pylist()
@@ -172,10 +174,16 @@ def tie(buckets: DataFrame, size: int) -> DataFrame:
                         if share[best] >= JOIN_SHARE:
                             edges.append((reps[i], ids[best]))
                             continue
-                        edges += [(reps[i], ids[k]) for k in np.flatnonzero(share >= LEADER_SHARE).tolist()]
                     if held == len(leaders):
                         leaders = np.concatenate([leaders, np.zeros((max(16, held), size), np.uint8)])
-                    leaders[held] = values[i]
+                        tree = np.concatenate([tree, np.zeros(max(16, held), np.int64)])
+                    leaders[held], tree[held] = values[i], held
+                    if held:
+                        # One edge to each tree that it is near to; these are then one tree.
+                        near = np.flatnonzero(share >= LEADER_SHARE)
+                        trees, first = np.unique(tree[near], return_index=True)
+                        edges += [(reps[i], ids[k]) for k in near[first].tolist()]
+                        tree[:held][np.isin(tree[:held], trees)] = held
                     ids.append(reps[i])
                     held += 1
             a, b = zip(*edges) if edges else ((), ())
