@@ -57,9 +57,11 @@ def split_words(texts: pa.Array, separators: str | None = None) -> Words:
 
 def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Sums of ``values`` over the spans of ``offsets``; 0 for an empty span."""
-    total = np.zeros((len(values) + 1, *values.shape[1:]))
-    np.cumsum(values, axis=0, out=total[1:])
-    return total[offsets[1:]] - total[offsets[:-1]]
+    out = np.zeros((len(offsets) - 1, *values.shape[1:]))
+    full = offsets[1:] > offsets[:-1]
+    if full.any():
+        out[full] = np.add.reduceat(values, offsets[:-1][full], axis=0)
+    return out
 
 
 def flat_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -5,13 +5,45 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bazaarlens.llm import decontaminate, langid, near, sentencepiece
+from bazaarlens.llm.queries import PIECES, labelled_documents
 from bazaarlens.llm.tables import read
 from bazaarlens.session import cut_lineage
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a language is found; those without text or letters go."""
+    model = langid.train(labelled_documents(docs))
+    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or similar texts."""
+    return near.keep_one(docs)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item in them."""
+    return decontaminate.remove_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their piece ids, and whether decoding gives the text again."""
+    pieces = sentencepiece.load_pieces(PIECES)
+    done = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
+    return done.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("language_id", identify_language),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("sentencepiece", encode_pieces),
+]
 
 # No stage with trained models or sketches can be stated in SQL.
 ORACLE_SQL = None
