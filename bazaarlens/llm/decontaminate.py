@@ -15,6 +15,8 @@ is a document like any other. Columns other than the ones used are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,6 +46,11 @@ UNIT = rf"({SIGN}number +)({'|'.join(UNITS)})\b"
 WORD_BREAK = rf"[^\p{{L}}\p{{N}}{SIGN}]+"
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is evaluated once; inside a lambda it would be evaluated for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _plain(text: Column) -> Column:
     return F.replace(F.coalesce(text, F.lit("")), F.lit(SIGN), F.lit(" "))
 
@@ -73,26 +80,30 @@ def slot_values(text: Column) -> Column:
 
 def slots(words: Column, text: Column) -> Column:
     """Array of (at, kind, value): each placeholder of ``words`` with the value that it stands for."""
-    values = slot_values(text)
 
-    def of(kind: str) -> Column:
+    def of(kind: str, values: Column) -> Column:
         places = F.filter(F.sequence(F.lit(0), F.size(words)), lambda i: F.get(words, i) == f"{SIGN}{kind}")
-        return F.transform(
-            places,
-            lambda at, i: F.struct(
-                at.alias("at"), F.lit(kind).alias("kind"), F.get(F.element_at(values, kind), i).alias("value")
+        return _once(
+            F.element_at(values, kind),
+            lambda own: F.transform(
+                places,
+                lambda at, i: F.struct(at.alias("at"), F.lit(kind).alias("kind"), F.get(own, i).alias("value")),
             ),
         )
 
-    return F.concat(*[of(kind) for kind in KINDS])
+    return _once(slot_values(text), lambda values: F.concat(*[of(kind, values) for kind in KINDS]))
 
 
 def window_hashes(words: Column) -> Column:
     """64-bit hashes of all runs of ``WINDOW`` words, in order."""
-    last = F.size(words) - WINDOW
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, WINDOW)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+
+    def hashes(own: Column) -> Column:
+        last = F.size(own) - WINDOW
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(own, i + 1, WINDOW)))).otherwise(
+            F.array().cast("array<bigint>")
+        )
+
+    return _once(words, hashes)
 
 
 def _literals(words: Column) -> Column:
