@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import chat, decontaminate, langid, near, nearest, sentencepiece, sharding, urls, warc
+from bazaarlens.llm import chat, decontaminate, langid, mixing, near, nearest, sentencepiece, sharding, urls, warc
 from bazaarlens.llm.tables import fold_residue, read
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -82,6 +82,12 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.filter_urls(pages, labelled_urls(spark, sf_dir))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word and mixing scores of every document; the fold of residue 2 modulo 7 is held out."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return mixing.score_documents(docs, fold_residue(F.col("doc_id"), 7) == 2)
+
+
 SHARDS = 24
 
 
@@ -138,6 +144,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_ngram_jaccard_join,
         op4_chat_formatting,
         op5_url_filters,
+        op6_lm_scoring,
         op7_sharding,
         op8_language_id,
         op9_benchmark_decontamination,
