@@ -74,6 +74,18 @@ def test_student_tail(t, df, p):
     assert tails.student_two_sided(t, df) == pytest.approx(p, rel=1e-5)
 
 
+def test_student_tail_at_any_size():
+    for df in (9_000, 10_000):
+        for t in (0.01, 0.5, 1.0, 1.7, 2.5, 8.0, 30.0):
+            exact = tails.regularized_beta(df / 2, 0.5, df / (df + t * t))
+            assert tails.normal_two_sided(tails._student_deviate(t, df)) == pytest.approx(exact, rel=1e-9)
+    for df in (10_001, 1e7, 1e11, 1e13):
+        for t in (0.01, 1.0, 3.0):
+            assert tails.student_two_sided(t, df) == pytest.approx(tails.normal_two_sided(t), rel=1e-13, abs=t * (1 + t**2) / df)
+    with pytest.raises(ArithmeticError):
+        tails.regularized_beta(5e12, 5e12, 0.5)
+
+
 def test_normal_tail():
     assert tails.normal_two_sided(1.959963984540054) == pytest.approx(0.05, rel=1e-12)
     assert tails.normal_pvalue(-0.3) == 1.0
