@@ -41,8 +41,12 @@ def slices_by(batch: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[p
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> pa.Array:
-    """Texts of a column, null as empty, in buffers of their own: ``ascii_lower`` of pyarrow 23 misreads cast slices."""
-    return batch.column(column).cast(pa.large_utf8()).fill_null("").take(pa.array(np.arange(batch.num_rows)))
+    return batch.column(column).cast(pa.large_utf8()).fill_null("")
+
+
+def lowered(texts: pa.Array) -> pa.Array:
+    """A-Z in lower case. The texts are copied first, as ``ascii_lower`` of pyarrow 23 misreads cast slices."""
+    return pc.ascii_lower(texts.take(pa.array(np.arange(len(texts)))))
 
 
 def split_words(texts: pa.Array, separators: str | None = None) -> Words:
