@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import chat, decontaminate, langid, mixing, near, nearest, sentencepiece, sharding, urls, warc
+from bazaarlens.llm import bpe, chat, decontaminate, langid, mixing, near, nearest, sentencepiece, sharding, urls, warc
 from bazaarlens.llm.tables import fold_residue, read
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -137,6 +137,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+TOKENIZERS = "/opt/tokenizers"
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str, folder: str = TOKENIZERS) -> DataFrame:
+    """Digests of the ids of every text and of what they decode to."""
+    vocabulary = bpe.load_vocabulary(f"{folder}/word_bpe_49k.json")
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    done = bpe.decode(bpe.encode(docs, vocabulary).drop("text"), vocabulary)
+    return done.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sentencepiece,
@@ -149,5 +165,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_benchmark_decontamination,
         op10_warc,
+        op13_bpe,
     )
 }
