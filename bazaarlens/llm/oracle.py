@@ -76,8 +76,51 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+# All phrases spelled out, counted and cut; chr(11) to chr(13) are the other line breaks.
+_COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[.,;:!?' || chr(10) || chr(11) || chr(12) || chr(13) || ']')) AS piece
+  FROM documents
+), spans AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[ ' || chr(9) || ']'), lambda w: w <> '') AS ws FROM pieces
+), phrases AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(ws) - size + 2), lambda i: array_to_string(ws[i : i + size - 1], ' '))) AS phrase
+  FROM spans, (SELECT unnest(range(1, 6)) AS size) AS sizes
+), counts AS (
+  SELECT lang, phrase, any_value(size) AS size, count(*) AS f FROM phrases GROUP BY lang, phrase
+), totals AS (
+  SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, size, f AS a, string_split(phrase, ' ') AS ws FROM counts WHERE size >= 2 AND f >= 100
+), cuts AS (
+  SELECT *, unnest(range(1, size)) AS k FROM candidates
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.f AS l, y.f AS r, t.n,
+    ((1000 * c.a::HUGEINT * t.n::HUGEINT) // (x.f::HUGEINT * y.f::HUGEINT))::BIGINT AS score
+  FROM cuts AS c JOIN totals AS t USING (lang)
+    JOIN counts AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.ws[1 : c.k], ' ')
+    JOIN counts AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.ws[c.k + 1 :], ' ')
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, a, size, ws, unnest(range(2, size)) AS m FROM candidates
+), covers AS (
+  SELECT lang, unnest(list_transform(range(1, size - m + 2), lambda i: array_to_string(ws[i : i + m - 1], ' '))) AS phrase, a AS f
+  FROM inner_parts
+), kept AS (
+  SELECT * FROM lowest AS x
+  WHERE NOT EXISTS (SELECT 1 FROM covers AS c WHERE c.lang = x.lang AND c.phrase = x.phrase AND 100 * c.f >= 100 * x.a)
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op2_nearest_neighbours": _NEAREST,
     "op4_chat_formatting": _chat(),
     "op10_warc": _WARC,
+    "op12_collocations": _COLLOCATIONS,
 }
