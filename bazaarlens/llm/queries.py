@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bazaarlens.llm import bpe, chat, collocations, decontaminate, langid, mixing, near, nearest, sentencepiece, sharding, urls, warc
+from bazaarlens.llm import bpe, chat, collocations, decontaminate, langid, mixing, near, nearest, sentencepiece, sharding, urls, warc, whitening
 from bazaarlens.llm.tables import fold_residue, read
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
@@ -137,6 +137,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first 16 components of the distinct vectors."""
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    return whitening.whiten(vectors, "vec_id")
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best phrases of each language."""
     return collocations.mine(read(spark, sf_dir, "documents").select("text", "lang"))
@@ -170,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language_id,
         op9_benchmark_decontamination,
         op10_warc,
+        op11_whitening,
         op12_collocations,
         op13_bpe,
     )
