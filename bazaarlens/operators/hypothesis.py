@@ -1,20 +1,17 @@
-"""Two-group tests, rank correlation and regressions.
+"""Two-group tests and correlations.
 
 All passes over rows are Spark aggregates; only the tail probability of a
-one-row result is computed by a small vectorised function.
+one-row result is computed after the fact.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarlens.functions.numbers import ratio
-from bazaarlens.functions.tails import normal_pvalue, student_pvalue
+from bazaarlens.functions.tails import mann_whitney_exact, normal_pvalue, student_pvalue
 from bazaarlens.operators.ordering import running_totals, value_ranks
 from bazaarlens.session import cut_lineage
 
@@ -76,17 +73,24 @@ def mann_whitney(df: DataFrame, value: str, in_group_a: Column) -> DataFrame:
         mean.alias("u_mean"),
         deviation.alias("u_deviation"),
         ratio(F.greatest(u, na * nb - u) - mean - 0.5, deviation).alias("z_statistic"),
-        # Small samples without ties have an exact distribution; the value here is the normal one.
+        # Small samples without ties have an exact distribution.
         ((F.least("n_group_a", "n_group_b") <= 8) & (F.col("_most_ties") == 1)).alias("exact_advised"),
     )
 
 
 def two_group_tests(df: DataFrame, value: str, in_group_a: Column, label: str, small_sample: int = 20) -> DataFrame:
-    """One row: sizes, means and both p-values. Runs at once: the tail
-    probabilities are taken from the one-row statistics."""
+    """One row: sizes, means and both p-values, null without two values in each
+    group. The rank test is exact if a group has at most eight values and none is
+    tied. Runs at once: the tail probabilities are taken from the one-row statistics."""
     means = welch(df, value, in_group_a, small_sample).first()
     ranks = mann_whitney(df, value, in_group_a).first()
-    tested = means["t_statistic"] is not None
+    enough = min(means["n_group_a"], means["n_group_b"]) >= 2
+    if not enough:
+        rank_pvalue = None
+    elif ranks["exact_advised"]:
+        rank_pvalue = mann_whitney_exact(int(ranks["u_statistic"]), ranks["n_group_a"], ranks["n_group_b"])
+    else:
+        rank_pvalue = normal_pvalue(ranks["z_statistic"])
     row = (
         label,
         means["n_group_a"],
@@ -94,7 +98,7 @@ def two_group_tests(df: DataFrame, value: str, in_group_a: Column, label: str, s
         means["mean_group_a"],
         means["mean_group_b"],
         student_pvalue(means["t_statistic"], means["degrees_of_freedom"]),
-        normal_pvalue(ranks["z_statistic"]) if tested else None,
+        rank_pvalue,
         means["small_sample"],
     )
     schema = (
@@ -150,66 +154,3 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for i, (a, b) in enumerate(pairs)
     ]
     return one_row.select(F.inline(F.array(*cells)))
-
-
-def _design(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    complete = df.select(
-        F.col(target).cast("double").alias("label"), *[F.col(f).cast("double").alias(f) for f in features]
-    ).dropna()
-    # Fitting reads the rows several times: keep one written copy of them.
-    return VectorAssembler(inputCols=list(features), outputCol="features").transform(cut_lineage(complete))
-
-
-def ols(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
-    """Least squares with intercept: one row per term. No row when there are not
-    at least three more observations than features."""
-    schema = (
-        "term string, coef double, pvalue double, stderr double, tvalue double, "
-        "r_squared double, adj_r_squared double, n_obs bigint"
-    )
-    design = _design(df, target, features)
-    if len(design.take(len(features) + 3)) < len(features) + 3:
-        return df.sparkSession.createDataFrame([], schema)
-    model = LinearRegression(solver="normal", regParam=0.0, fitIntercept=True).fit(design)
-    summary = model.summary
-    # MLlib lists the intercept last.
-    names = [*features, "const"]
-    coefficients = [*model.coefficients.toArray().tolist(), model.intercept]
-    try:
-        tests = list(zip(summary.pValues, summary.coefficientStandardErrors, summary.tValues))
-    except Exception:  # collinear features have no standard errors
-        tests = [(None, None, None)] * len(names)
-    rows = [
-        (name, float(coefficient), *test, float(summary.r2), float(summary.r2adj), int(summary.numInstances))
-        for name, coefficient, test in zip(names, coefficients, tests)
-    ]
-    return df.sparkSession.createDataFrame(rows, schema)
-
-
-def logit(df: DataFrame, target: str, feature: str) -> DataFrame:
-    """Logistic regression of a 0/1 target on one feature: one row."""
-    schema = (
-        "status string, n_obs bigint, events bigint, coef double, pvalue double, odds_ratio double, pseudo_r2 double"
-    )
-    spark = df.sparkSession
-    design = _design(df, target, [feature])
-    facts = design.agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("events")).first()
-    n, events = facts["n"], int(facts["events"] or 0)
-    if n == 0 or events in (0, n):
-        return spark.createDataFrame([("insufficient_variance", n, events, None, None, None, None)], schema)
-    try:
-        model = GeneralizedLinearRegression(family="binomial", link="logit", maxIter=50).fit(design)
-        summary = model.summary
-        coefficient = float(model.coefficients[0])
-        row = (
-            "ok",
-            n,
-            events,
-            coefficient,
-            float(summary.pValues[0]),
-            math.exp(coefficient),
-            1.0 - float(summary.deviance) / float(summary.nullDeviance),
-        )
-    except Exception as problem:  # a fit that does not converge is a result, not a crash
-        row = (f"failed: {type(problem).__name__}", n, events, None, None, None, None)
-    return spark.createDataFrame([row], schema)

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from bazaarlens.functions.numbers import clip, ratio
-from bazaarlens.operators import hypothesis
+from bazaarlens.operators import hypothesis, regression
 from bazaarlens.plans.model import Model
 from bazaarlens.plans.strategic import monthly_enriched
 from bazaarlens.session import cut_lineage
@@ -48,7 +48,7 @@ def driver_correlation(model: Model) -> DataFrame:
 
 
 def driver_ols(model: Model) -> DataFrame:
-    return hypothesis.ols(driver_dataset(model), TARGET, DRIVERS)
+    return regression.ols(driver_dataset(model), TARGET, DRIVERS)
 
 
 def driver_trend(model: Model, driver: str = "strategic_revenue_share_pct") -> DataFrame:
@@ -78,7 +78,7 @@ def _with_prediction(monthly: DataFrame, fit: DataFrame) -> DataFrame:
 def regression_output(model: Model) -> DataFrame:
     """Published regression table with Portuguese headers."""
     monthly = cut_lineage(driver_dataset(model))
-    fitted = _with_prediction(monthly, hypothesis.ols(monthly, TARGET, DRIVERS))
+    fitted = _with_prediction(monthly, regression.ols(monthly, TARGET, DRIVERS))
     return fitted.select(
         F.col("year_month").alias("ano_mes"),
         F.col("revenue_month").alias("receita_mes"),
@@ -98,7 +98,7 @@ def driver_scenario(model: Model) -> DataFrame:
     """One row: revenue of the month after the last one, as fitted and with the
     scenario changes applied to the drivers."""
     monthly = cut_lineage(driver_dataset(model))
-    fitted = _with_prediction(monthly, hypothesis.ols(monthly, TARGET, DRIVERS))
+    fitted = _with_prediction(monthly, regression.ols(monthly, TARGET, DRIVERS))
     change = sum(F.col("_coef")[d] * delta for d, delta in SCENARIO.items())
     scenario_growth = F.col("predicted_growth_m1_pct") + change
     return fitted.orderBy(F.col("month").desc()).limit(1).select(

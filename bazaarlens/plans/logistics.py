@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from bazaarlens.functions.numbers import ratio
-from bazaarlens.operators import hypothesis
+from bazaarlens.operators import hypothesis, regression
 from bazaarlens.operators.control_charts import box_statistics, bubble_sizes
 from bazaarlens.plans.model import Model
 
@@ -100,4 +100,4 @@ def negative_review_logit(model: Model) -> DataFrame:
     flagged = reviewed_orders(model).select(
         (F.col("review_score") <= threshold).cast("double").alias("negative_review_flag"), "delay_days"
     )
-    return hypothesis.logit(flagged, "negative_review_flag", "delay_days")
+    return regression.logit(flagged, "negative_review_flag", "delay_days")

@@ -107,25 +107,6 @@ def test_two_group_tests_known_values(spark):
     assert empty["ttest_pvalue"] is None and empty["mannwhitney_pvalue"] is None
 
 
-def test_ols_recovers_line(spark):
-    rng = random.Random(1)
-    rows = [(float(i), float(i % 7), 2.0 + 3.0 * i - 1.5 * (i % 7) + rng.random() * 1e-3) for i in range(50)]
-    df = spark.createDataFrame(rows, "a double, b double, y double")
-    fit = {r["term"]: r for r in hypothesis.ols(df, "y", ["a", "b"]).collect()}
-    assert fit["a"]["coef"] == pytest.approx(3.0, abs=1e-3) and fit["b"]["coef"] == pytest.approx(-1.5, abs=1e-3)
-    assert fit["const"]["n_obs"] == 50 and fit["a"]["r_squared"] > 0.999
-    assert hypothesis.ols(df.limit(4), "y", ["a", "b"]).count() == 0
-
-
-def test_logit_status(spark):
-    one_class = spark.createDataFrame([(0.0, 1.0), (0.0, 2.0)], "y double, x double")
-    assert hypothesis.logit(one_class, "y", "x").first()["status"] == "insufficient_variance"
-    rng = random.Random(5)
-    rows = [(float(rng.random() < 0.2 + 0.06 * (i % 10)), float(i % 10)) for i in range(400)]
-    fit = hypothesis.logit(spark.createDataFrame(rows, "y double, x double"), "y", "x").first()
-    assert fit["status"] == "ok" and fit["coef"] > 0 and fit["odds_ratio"] > 1 and 0 < fit["pseudo_r2"] < 1
-
-
 def test_cut_lineage_keeps_rows(spark):
     df = spark.range(100).withColumn("x", F.rand())
     kept = cut_lineage(df)
