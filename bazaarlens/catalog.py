@@ -166,8 +166,8 @@ ANALYSES: dict[str, Query] = {
 }
 
 
-def _measure(function, *args, **kwargs) -> Query:
-    return lambda m: function(Semantic(m), *args, **kwargs)
+def _measure(function, *args, role: str = "purchase", **kwargs) -> Query:
+    return lambda m: function(Semantic(m, role), *args, **kwargs)
 
 
 MONTH, STATE, CATEGORY, SELLER = "year_month", "customer_state", "product_category_name", "seller_id"
@@ -262,7 +262,54 @@ MEASURES: dict[str, Query] = {
     "m64_last_real_month": _measure(forecast.last_real_month),
 }
 
-QUERIES: dict[str, Query] = {**ANALYSES, **MEASURES}
+IN_ASIA, ONE_CATEGORY = "seller_state = 'ASIA'", "product_category_name = 'Brand#11'"
+# Two slider settings of each kind, and one that is fixed.
+SOME_SETTINGS = {"late_reduction": [0, 10], "repurchase_increase": 5, "seller_expansion": [0, 20]}
+
+# Measures under slicers: seller and product filters, calendar attributes, date roles, forecast cells.
+SLICED: dict[str, Query] = {
+    "m01_revenue_growth_card_of_category": _measure(base.revenue_growth_card, where_items=ONE_CATEGORY),
+    "m02_average_installments_of_asian_sellers": _measure(base.average_installments, [MONTH], where_items=IN_ASIA),
+    "m03_orders_by_quarter": _measure(base.orders, ["year", "quarter"]),
+    "m04_revenue_by_delivery_of_category": _measure(base.revenue_by_delivery, [MONTH], where_items=ONE_CATEGORY),
+    "m04_revenue_by_delivery_by_year": _measure(base.revenue_by_delivery, ["year"], where="month_number <= 6"),
+    "m08_late_share_by_weekday": _measure(service.late_share, ["weekday_number", "weekday_name"]),
+    "m20_average_score_in_date_range": _measure(
+        service.average_score, ["quarter"], where="date >= '1996-02-10' AND date < '1997-11-20'"
+    ),
+    "m27_orders_by_seller_alias": _measure(service.orders_by_seller, ["seller_alias"], where_items=ONE_CATEGORY),
+    "m28_seller_delay_rank_in_asia": _measure(service.seller_delay_rank, where_items=IN_ASIA),
+    "m29_returning_share_of_asian_sellers": _measure(customers.returning_share, where_items=IN_ASIA),
+    "m30_returning_customers_of_asian_sellers": _measure(
+        customers.returning_customers, [CATEGORY], where_items=[IN_ASIA, "product_category_name < 'Brand#3'"]
+    ),
+    "m35_items_of_recurring_customers_of_asian_sellers": _measure(
+        customers.items_of_recurring_customers, [MONTH], where_items=[IN_ASIA, "product_category_name < 'Brand#3'"]
+    ),
+    "m39_top_1_revenue_of_category": _measure(sellers.top_seller_revenue(1), where_items=ONE_CATEGORY),
+    "m44_top_3_seller_of_category": _measure(sellers.top_seller_alias(3), where_items=ONE_CATEGORY),
+    "m45_strategic_revenue_share_of_asian_sellers": _measure(
+        forecast.strategic_revenue_share, [MONTH], where_items=IN_ASIA
+    ),
+    "m46_projected_gain_share_by_state": _measure(forecast.projected_gain_share, [STATE], params=SOME_SETTINGS),
+    "m47_forecast_baseline_by_state": _measure(forecast.forecast_baseline, [STATE]),
+    "m48_forecast_simulated_by_state": _measure(forecast.forecast_simulated, [STATE], params=SOME_SETTINGS),
+    "m49_shown_history_by_category": _measure(forecast.shown_history, [CATEGORY]),
+    "m50_projected_3_months_by_state": _measure(forecast.projected_3_months, [STATE], params=SOME_SETTINGS),
+    "m51_simulation_text_by_state": _measure(forecast.simulation_text, [STATE], params=SOME_SETTINGS),
+    "m52_projected_gain_of_category": _measure(
+        forecast.projected_gain, where_items=ONE_CATEGORY, params=SOME_SETTINGS
+    ),
+    "m56_baseline_3_months_by_state": _measure(forecast.baseline_3_months, [STATE]),
+    "m57_base_revenue_3m_by_state": _measure(forecast.baseline_value, [STATE]),
+    "m59_product_revenue_by_approved_month": _measure(base.product_revenue, [MONTH], role="approved"),
+    "m59_product_revenue_by_carrier_month": _measure(base.product_revenue, [MONTH], role="carrier"),
+    "m59_product_revenue_by_estimated_month": _measure(base.product_revenue, [MONTH], role="estimated"),
+    "m63_last_real_date_by_state": _measure(forecast.last_real_date, [STATE]),
+    "m64_last_real_month_by_category": _measure(forecast.last_real_month, [CATEGORY]),
+}
+
+QUERIES: dict[str, Query] = {**ANALYSES, **MEASURES, **SLICED}
 
 
 def run(name: str, model: Model) -> DataFrame:

@@ -8,35 +8,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from bazaarlens.functions import dates
 from bazaarlens.functions.numbers import ratio, relative_change
-from bazaarlens.plans.measures.semantic import Semantic, visible
+from bazaarlens.plans.measures.semantic import Conditions, Semantic, visible
 
 By = Sequence[str]
 
 
-def orders(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def orders(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Distinct orders."""
     return s.scope(by, where, where_items).groupBy(*by).agg(F.count(F.lit(1)).alias("orders"))
 
 
-def delivered_orders(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def delivered_orders(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Distinct delivered orders (M55); rows without any are blank, hence absent."""
     counted = s.scope(by, where, where_items).groupBy(*by).agg(F.count_if("is_delivered").alias("delivered_orders"))
     return counted.where(F.col("delivered_orders") > 0)
 
 
-def product_revenue(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def product_revenue(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Sum of item prices."""
     rows = s.scope(by, where, where_items, with_items=True)
     return rows.groupBy(*by).agg(F.sum("revenue").alias("product_revenue"))
 
 
-def items_sold(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def items_sold(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Item rows."""
     rows = s.scope(by, where, where_items, with_items=True)
     return rows.groupBy(*by).agg(F.sum("items").alias("items_sold"))
 
 
-def average_ticket(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def average_ticket(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Revenue per order (M06). Orders without items count in the denominator."""
     facts = s.scope(by, where, where_items).groupBy(*by).agg(
         F.sum("revenue").alias("_revenue"), F.count(F.lit(1)).alias("_orders")
@@ -44,7 +44,9 @@ def average_ticket(s: Semantic, by: By = (), where: str | None = None, where_ite
     return facts.select(*by, ratio(F.col("_revenue"), F.col("_orders")).alias("average_ticket"))
 
 
-def average_installments(s: Semantic, by: By = (), where: str | None = None) -> DataFrame:
+def average_installments(
+    s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None
+) -> DataFrame:
     """Mean over orders of the largest instalment count."""
     largest = (
         s.model.tables["order_payments"]
@@ -52,29 +54,29 @@ def average_installments(s: Semantic, by: By = (), where: str | None = None) ->
         .groupBy("order_id")
         .agg(F.max("payment_installments").alias("_installments"))
     )
-    rows = s.scope(by, where).join(largest, "order_id")
+    rows = s.scope(by, where, where_items).join(largest, "order_id")
     return rows.groupBy(*by).agg(F.avg("_installments").alias("average_installments"))
 
 
 def revenue_by_delivery(
-    s: Semantic, by: By = (), where: str | None = None, delivered_only: bool = True
+    s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None, delivered_only: bool = True
 ) -> DataFrame:
     """Revenue dated by delivery (M04): ``year_month`` is the delivery month.
     ``delivered_only`` False gives the variant without the status filter."""
-    rows = s.with_role("delivered").scope(by, where, with_items=True)
+    rows = s.with_role("delivered").scope(by, where, where_items, with_items=True)
     rows = rows.where(F.col("date_delivered").isNotNull())
     if delivered_only:
         rows = rows.where("is_delivered")
     return rows.groupBy(*by).agg(F.sum("revenue").alias("revenue_by_delivery"))
 
 
-def card_growth(s: Semantic, by: By = (), where: str | None = None) -> DataFrame:
+def card_growth(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Delivery-dated revenue of each calendar month seen as the last visible one
     (M05), of the month before it (M58) and the change between them (M01).
 
     Each revenue month is placed in its own row and in the next month's row, so
     no self-join is needed. ``by`` holds further attributes besides the month."""
-    revenue = revenue_by_delivery(s, ["year_month", *by], where)
+    revenue = revenue_by_delivery(s, ["year_month", *by], where, where_items)
     start = F.to_date(F.concat("year_month", F.lit("-01")))
     value, none = F.col("revenue_by_delivery"), F.lit(None).cast("double")
     placed = F.array(
@@ -97,15 +99,15 @@ def card_growth(s: Semantic, by: By = (), where: str | None = None) -> DataFrame
     )
 
 
-def revenue_last_month(s: Semantic, by: By = (), where: str | None = None) -> DataFrame:
-    cards = card_growth(s, by, where).select("year_month", *by, "revenue_last_month")
+def revenue_last_month(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
+    cards = card_growth(s, by, where, where_items).select("year_month", *by, "revenue_last_month")
     return visible(cards, "revenue_last_month")
 
 
-def revenue_previous_month(s: Semantic, by: By = (), where: str | None = None) -> DataFrame:
-    cards = card_growth(s, by, where).select("year_month", *by, "revenue_previous_month")
+def revenue_previous_month(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
+    cards = card_growth(s, by, where, where_items).select("year_month", *by, "revenue_previous_month")
     return visible(cards, "revenue_previous_month")
 
 
-def revenue_growth_card(s: Semantic, by: By = (), where: str | None = None) -> DataFrame:
-    return visible(card_growth(s, by, where).select("year_month", *by, "revenue_growth"), "revenue_growth")
+def revenue_growth_card(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
+    return visible(card_growth(s, by, where, where_items).select("year_month", *by, "revenue_growth"), "revenue_growth")

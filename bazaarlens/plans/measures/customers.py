@@ -8,27 +8,26 @@ from pyspark.sql import DataFrame, functions as F
 
 from bazaarlens.functions import dates
 from bazaarlens.functions.numbers import ratio, relative_change
-from bazaarlens.plans.measures.semantic import CUSTOMER_ATTRIBUTES, PRODUCT_ATTRIBUTES, Semantic, visible
+from bazaarlens.plans.measures.semantic import PRODUCT_SIDE, Conditions, Semantic, visible, without_filters
 
 By = Sequence[str]
-PRODUCT_SIDE = ("product_id", *PRODUCT_ATTRIBUTES)
 
 
-def unique_customers(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def unique_customers(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Distinct customers with orders in context."""
     rows = s.scope(by, where, where_items, need=["customer_unique_id"])
     pairs = rows.where(F.col("customer_unique_id").isNotNull()).select(*by, "customer_unique_id").distinct()
     return pairs.groupBy(*by).agg(F.count(F.lit(1)).alias("unique_customers"))
 
 
-def purchase_frequency(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def purchase_frequency(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Mean distinct orders per customer that has any."""
     rows = s.scope(by, where, where_items, need=["customer_unique_id"])
     per_customer = rows.groupBy(*by, "customer_unique_id").agg(F.count(F.lit(1)).alias("_orders"))
     return per_customer.groupBy(*by).agg(F.avg("_orders").alias("purchase_frequency"))
 
 
-def new_customers(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def new_customers(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Customers whose first purchase, the calendar filter removed, falls in the
     month (M31). ``by`` holds attributes besides the month; they stay filters on
     the search for the first purchase."""
@@ -41,9 +40,10 @@ def new_customers(s: Semantic, by: By = (), where: str | None = None, where_item
     return first.where(F.col("_first").isNotNull()).groupBy(month, *by).agg(F.count(F.lit(1)).alias("new_customers"))
 
 
-def _returning_pairs(s: Semantic, by: By, where: str | None, where_items: str | None) -> DataFrame:
+def _returning_pairs(s: Semantic, by: By, where: Conditions, where_items: Conditions) -> DataFrame:
     """(month, by, customer) pairs with an order with items in the month, flagged
-    when the customer had any order before that month, whatever the product."""
+    when the customer had any order before that month: filters on products are
+    removed for it, those on sellers and customers stay."""
     product_free = [name for name in by if name not in (*PRODUCT_SIDE, "year_month")]
     here = s.scope(
         ["year_month", *[n for n in by if n != "year_month"]], where, where_items,
@@ -51,7 +51,7 @@ def _returning_pairs(s: Semantic, by: By, where: str | None, where_items: str |
     ).where(F.col("customer_unique_id").isNotNull() & F.col("date_purchase").isNotNull())
     names = [n for n in by if n != "year_month"]
     pairs = here.select("year_month", *names, "customer_unique_id").distinct()
-    earlier = s.scope(product_free, where, need=["customer_unique_id"])
+    earlier = s.scope(product_free, where, without_filters(where_items, PRODUCT_SIDE), need=["customer_unique_id"])
     first = earlier.groupBy(
         F.col("customer_unique_id").alias("_customer"), *[F.col(n).alias(f"_{n}") for n in product_free]
     ).agg(dates.month_label(F.min("date_purchase")).alias("_first_month"))
@@ -63,7 +63,7 @@ def _returning_pairs(s: Semantic, by: By, where: str | None, where_items: str |
     )
 
 
-def returning_customers(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def returning_customers(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Per month: customers that bought in it, inside the context, and already had
     an order before it; product filters do not narrow the earlier order (M30)."""
     names = [n for n in by if n != "year_month"]
@@ -73,7 +73,7 @@ def returning_customers(s: Semantic, by: By = (), where: str | None = None, wher
     return counted.where(F.col("returning_customers") > 0)
 
 
-def returning_share(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def returning_share(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Returning customers over unique customers of the month."""
     names = ["year_month", *[n for n in by if n != "year_month"]]
     returning = returning_customers(s, by, where, where_items)
@@ -84,12 +84,14 @@ def returning_share(s: Semantic, by: By = (), where: str | None = None, where_it
 
 
 def items_of_recurring_customers(
-    s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None
+    s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None
 ) -> DataFrame:
     """Items of customers with two or more orders in context, product filters
     removed for that test (M35)."""
     product_free = [name for name in by if name not in PRODUCT_SIDE]
-    tested = s.scope(product_free, where, need=["customer_unique_id"], with_items=True)
+    tested = s.scope(
+        product_free, where, without_filters(where_items, PRODUCT_SIDE), need=["customer_unique_id"], with_items=True
+    )
     keys = [*product_free, "customer_unique_id"]
     recurring = tested.where(F.col("customer_unique_id").isNotNull()).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_orders")
@@ -105,7 +107,7 @@ def items_of_recurring_customers(
 
 
 # ------------------------------------------------------------------- trends
-def trailing_revenue(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+def trailing_revenue(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
     """Per calendar month end: revenue of the three months up to it (M37), of the
     three before those (M36) and the change (M38).
 
@@ -139,7 +141,7 @@ def trailing_revenue(s: Semantic, by: By = (), where: str | None = None, where_i
 
 
 def trailing_measure(column: str):
-    def measure(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+    def measure(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
         return visible(trailing_revenue(s, by, where, where_items).select("year_month", *by, column), column)
 
     measure.__name__ = column

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from bazaarlens.functions import text
 from bazaarlens.functions.numbers import ratio, relative_change
 from bazaarlens.operators.ordering import value_ranks
-from bazaarlens.plans.measures.semantic import Semantic, visible
+from bazaarlens.plans.measures.semantic import Conditions, Semantic, visible
 from bazaarlens.session import cut_lineage
 
 By = Sequence[str]
@@ -33,7 +33,7 @@ def _days(start: str, end: str, condition: Column | None = None) -> Column:
 
 
 def delivery_panel(
-    s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None
+    s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None
 ) -> DataFrame:
     late, on_time, delivered = F.col("is_late"), F.col("is_on_time"), F.col("is_delivered")
     score = F.col("order_score")
@@ -78,7 +78,7 @@ def delivery_panel(
 def panel_measure(column: str):
     """Measure function for one column of the panel."""
 
-    def measure(s: Semantic, by: By = (), where: str | None = None, where_items: str | None = None) -> DataFrame:
+    def measure(s: Semantic, by: By = (), where: Conditions = None, where_items: Conditions = None) -> DataFrame:
         return visible(delivery_panel(s, by, where, where_items).select(*by, column), column)
 
     measure.__name__ = column
@@ -107,8 +107,10 @@ on_time_orders = panel_measure("on_time_orders")  # M26
 def by_seller(column: str, alias: str):
     """Seller measures: the order set is that of the seller's items."""
 
-    def measure(s: Semantic, by: By = ("seller_id",), where: str | None = None) -> DataFrame:
-        return visible(delivery_panel(s, by, where).select(*by, F.col(column).alias(alias)), alias)
+    def measure(
+        s: Semantic, by: By = ("seller_id",), where: Conditions = None, where_items: Conditions = None
+    ) -> DataFrame:
+        return visible(delivery_panel(s, by, where, where_items).select(*by, F.col(column).alias(alias)), alias)
 
     measure.__name__ = alias
     return measure
@@ -122,15 +124,17 @@ late_orders_by_seller = by_seller("late_orders", "late_orders_by_seller")  # M54
 delay_score_by_seller = by_seller("delay_score", "delay_score")  # M61
 
 
-def seller_delay_rank(s: Semantic, by: By = ("seller_id",), where: str | None = None) -> DataFrame:
+def seller_delay_rank(
+    s: Semantic, by: By = ("seller_id",), where: Conditions = None, where_items: Conditions = None
+) -> DataFrame:
     """Dense rank of the delay score among sellers with a positive one.
 
-    The selection made by ``where`` bounds the ranking; other ``by`` columns
+    The selection made by the conditions bounds the ranking; other ``by`` columns
     restart it. Blank unless the rows are sellers."""
     if "seller_id" not in by:
-        scores = delay_score_by_seller(s, by, where)
+        scores = delay_score_by_seller(s, by, where, where_items)
         return scores.select(*by, F.lit(None).cast("bigint").alias("seller_delay_rank")).where(F.lit(False))
-    scored = delay_score_by_seller(s, by, where).where(F.col("delay_score") > 0)
+    scored = delay_score_by_seller(s, by, where, where_items).where(F.col("delay_score") > 0)
     groups = [name for name in by if name != "seller_id"]
     ranked = value_ranks(cut_lineage(scored), ["delay_score"], by=groups)
     return ranked.select(*by, F.col("delay_score_dense_desc").alias("seller_delay_rank"))

@@ -1,12 +1,17 @@
 """The dashboard's star: orders in the middle, everything else filters them.
 
-A measure is a function of (semantic, by, where). ``by`` names the attributes of
-the result rows, ``where`` is a SQL condition on order and customer attributes and
-``where_items`` one on item, product and seller attributes.
-
-The order date behind ``year_month`` is the purchase date (the active link to the
-calendar) unless another role is asked for. Attributes of items reach orders
-through the distinct (order, attribute) pairs of the item table.
+A measure is a function of (semantic, by, where, where_items). ``by`` names the
+attributes of the result rows, ``where`` holds SQL conditions on order, customer and
+calendar attributes and ``where_items`` ones on item, product and seller attributes:
+one condition or a list of them. Conditions belong to the tables whose attributes
+they name, so that a measure can remove the filters of one table and keep the rest.
+
+Filters travel along the relations: customers and the calendar reach orders by
+their keys, products and sellers reach items, and items reach orders through the
+distinct (order, attribute) pairs of the item table.
+
+The calendar's date is the purchase date (the active link) unless another role is
+asked for; ``year_month`` and all calendar attributes follow the role.
 """
 
 from __future__ import annotations
@@ -17,9 +22,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from bazaarlens.functions import dates
+from bazaarlens.functions import dates, text
+from bazaarlens.operators.ordering import running_totals
 from bazaarlens.plans.model import Model
-from bazaarlens.sources.calendar import calendar_days
+from bazaarlens.sources.calendar import calendar, calendar_days
 
 DATE_ROLES = {
     "purchase": "order_purchase_timestamp",
@@ -30,14 +36,41 @@ DATE_ROLES = {
 }
 CUSTOMER_ATTRIBUTES = ("customer_unique_id", "customer_city", "customer_state", "map_location")
 PRODUCT_ATTRIBUTES = ("product_category_name",)
-SELLER_ATTRIBUTES = ("seller_city", "seller_state")
+SELLER_ATTRIBUTES = ("seller_city", "seller_state", "seller_alias")
+CALENDAR_ATTRIBUTES = (
+    "date", "date_id", "year", "quarter", "month_number", "month_name", "month_short", "year_month_order",
+    "weekday_number", "weekday_name", "week_of_year",
+)
 ITEM_ATTRIBUTES = ("seller_id", "product_id", *PRODUCT_ATTRIBUTES, *SELLER_ATTRIBUTES)
 # Attributes a "remove seller filters" clause ignores.
 SELLER_SIDE = ("seller_id", *SELLER_ATTRIBUTES)
+PRODUCT_SIDE = ("product_id", *PRODUCT_ATTRIBUTES)
+ALIAS_DIGITS = 3
+
+Conditions = str | Sequence[str] | None
+
+
+def listed(conditions: Conditions) -> list[str]:
+    return [] if not conditions else [conditions] if isinstance(conditions, str) else list(conditions)
+
 
+def mentioned(conditions: Conditions, names: Sequence[str]) -> list[str]:
+    """The ones of ``names`` that some condition uses; quoted text does not count."""
+    bare = " ".join(re.sub(r"'[^']*'", "''", c) for c in listed(conditions))
+    return [name for name in names if re.search(rf"\b{name}\b", bare)]
 
-def _mentions(condition: str | None, names: Sequence[str]) -> bool:
-    return bool(condition) and any(re.search(rf"\b{name}\b", condition) for name in names)
+
+def without_filters(conditions: Conditions, removed: Sequence[str]) -> list[str]:
+    """The conditions left when the filters on the ``removed`` attributes go.
+
+    A condition that ties removed attributes to others has no meaning then."""
+    kept = []
+    for condition in listed(conditions):
+        if not mentioned(condition, removed):
+            kept.append(condition)
+        elif others := mentioned(condition, [name for name in ITEM_ATTRIBUTES if name not in removed]):
+            raise ValueError(f"filters on {others} are kept here: state them apart from '{condition}'")
+    return kept
 
 
 class Semantic:
@@ -104,19 +137,30 @@ class Semantic:
             map_location(customers).alias("map_location"),
         )
 
-    def items(self, attributes: Sequence[str], where_items: str | None = None) -> DataFrame:
+    @cached_property
+    def seller_aliases(self) -> DataFrame:
+        """Anonymous name per seller: its dense rank by id."""
+        sellers = self.model.tables["sellers"].where(F.col("seller_id").isNotNull()).select("seller_id").distinct()
+        numbered = running_totals(sellers, [F.col("seller_id").asc()])
+        alias = F.concat(F.lit("Seller #"), text.zero_padded(F.col("position"), ALIAS_DIGITS))
+        return numbered.select("seller_id", alias.alias("seller_alias"))
+
+    def items(self, attributes: Sequence[str], where_items: Conditions = None) -> DataFrame:
         """Items folded to (order, attributes): revenue and item rows."""
         items = self.model.tables["order_items"].select("order_id", "product_id", "seller_id", "price")
-        if set(attributes) & set(PRODUCT_ATTRIBUTES) or _mentions(where_items, PRODUCT_ATTRIBUTES):
+        named = {*attributes, *mentioned(where_items, ITEM_ATTRIBUTES)}
+        if named & set(PRODUCT_ATTRIBUTES):
             items = items.join(
                 self.model.tables["products"].select("product_id", *PRODUCT_ATTRIBUTES), "product_id", "left"
             )
-        if set(attributes) & set(SELLER_ATTRIBUTES) or _mentions(where_items, SELLER_ATTRIBUTES):
+        if named & {"seller_city", "seller_state"}:
             items = items.join(
-                self.model.tables["sellers"].select("seller_id", *SELLER_ATTRIBUTES), "seller_id", "left"
+                self.model.tables["sellers"].select("seller_id", "seller_city", "seller_state"), "seller_id", "left"
             )
-        if where_items:
-            items = items.where(where_items)
+        if "seller_alias" in named:
+            items = items.join(self.seller_aliases, "seller_id", "left")
+        for condition in listed(where_items):
+            items = items.where(condition)
         return items.groupBy("order_id", *attributes).agg(
             F.sum("price").alias("revenue"), F.count(F.lit(1)).alias("items")
         )
@@ -125,8 +169,8 @@ class Semantic:
     def scope(
         self,
         by: Sequence[str] = (),
-        where: str | None = None,
-        where_items: str | None = None,
+        where: Conditions = None,
+        where_items: Conditions = None,
         need: Sequence[str] = (),
         with_items: bool = False,
     ) -> DataFrame:
@@ -137,13 +181,23 @@ class Semantic:
         ``with_items`` keeps only orders that have items."""
         attributes = [name for name in by if name in ITEM_ATTRIBUTES]
         rows = self.orders
-        if set([*by, *need]) & set(CUSTOMER_ATTRIBUTES) or _mentions(where, CUSTOMER_ATTRIBUTES):
+        named = {*by, *need, *mentioned(where, (*CUSTOMER_ATTRIBUTES, *CALENDAR_ATTRIBUTES))}
+        if named & set(CUSTOMER_ATTRIBUTES):
             rows = rows.join(self.customers, "customer_id", "left")
-        if where:
-            rows = rows.where(where)
-        how = "inner" if attributes or where_items or with_items else "left"
+        if named & set(CALENDAR_ATTRIBUTES):
+            # One row for each day of the calendar's years, whatever the number of orders: safe to broadcast.
+            key = F.col("date").alias(f"date_{self.date_role}")
+            days = F.broadcast(self.calendar.select(key, *CALENDAR_ATTRIBUTES))
+            rows = rows.join(days, f"date_{self.date_role}", "left")
+        for condition in listed(where):
+            rows = rows.where(condition)
+        how = "inner" if attributes or listed(where_items) or with_items else "left"
         return rows.join(self.items(attributes, where_items), "order_id", how)
 
+    @cached_property
+    def calendar(self) -> DataFrame:
+        return calendar(self.model.tables["orders"], self.settings)
+
     @cached_property
     def months(self) -> DataFrame:
         """Calendar months: label, first and last day. One row per month."""

@@ -59,16 +59,3 @@ def calendar(orders: DataFrame, settings: Settings, locale: str = "en") -> DataF
 
 def parameter_series(spark: SparkSession, name: str, last: int) -> DataFrame:
     return spark.range(0, last + 1).select(F.col("id").cast("int").alias(name))
-
-
-def parameter_grid(spark: SparkSession) -> DataFrame:
-    """Every combination of the three sliders, numbered off one range (fixed size)."""
-    expansions = MAX_SELLER_EXPANSION + 1
-    increases = MAX_REPURCHASE_INCREASE + 1
-    size = (MAX_LATE_REDUCTION + 1) * increases * expansions
-    n = F.col("id")
-    return spark.range(0, size, numPartitions=1).select(
-        F.floor(n / (increases * expansions)).cast("int").alias("late_reduction"),
-        (F.floor(n / expansions) % increases).cast("int").alias("repurchase_increase"),
-        (n % expansions).cast("int").alias("seller_expansion"),
-    )

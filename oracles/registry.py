@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from oracles.inference import INFERENCE
 from oracles.prefix import with_ctes
+from oracles.slicers import SLICERS
 
 
 def _concentration(source: str, label: str, value: str = "item_revenue") -> str:
@@ -628,7 +629,7 @@ def _wrap(sql: str) -> str:
     return f"{head},\n{own}"
 
 
-ORACLES: dict[str, str] = {name: _wrap(sql) for name, sql in (_RAW | INFERENCE).items()}
+ORACLES: dict[str, str] = {name: _wrap(sql) for name, sql in (_RAW | INFERENCE | SLICERS).items()}
 ORACLES["negative_review_logit"] = ORACLES["negative_review_logit"].replace("WITH ", "WITH RECURSIVE ", 1)
 ORACLES["kpi_summary"] = _kpi_query(_KPI_SELECT)
 ORACLES["kpi_text"] = _kpi_query(_KPI_TEXT)
