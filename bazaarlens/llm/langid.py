@@ -21,9 +21,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from bazaarlens.llm.words import flat_bytes, slices, split_words, sums, texts_of
@@ -205,18 +204,28 @@ def predict_batch(model: Model, batch: pa.RecordBatch) -> tuple[list[str], np.nd
     return lang.tolist(), score
 
 
+def predicted(text: Column, model: Model) -> Column:
+    """Struct of lang and score of each text. Only the texts travel to Python and only the results back."""
+
+    @F.arrow_udf("lang string, score double")
+    def run(texts: pa.Array) -> pa.Array:
+        whole = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [predict_batch(model, batch) for batch in slices(whole, "text")]
+        langs = [lang for part, _ in parts for lang in part]
+        scores = np.concatenate([np.zeros(0), *[score for _, score in parts]])
+        return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(scores)], ["lang", "score"])
+
+    return run(text)
+
+
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` (with a column text) and lang_pred, lang_score for every row."""
-    schema = T.StructType(
-        [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())]
+    """``docs`` (with a column text) and lang_pred, lang_score for every row; input columns of these names are replaced."""
+    both = predicted(F.col("text"), model)
+    return docs.withColumn("lang_score", both).withColumns(
+        {"lang_pred": F.col("lang_score.lang"), "lang_score": F.col("lang_score.score")}
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                lang, score = predict_batch(model, batch)
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(lang, pa.string()), pa.array(score)], [*batch.schema.names, "lang_pred", "lang_score"]
-                )
 
-    return docs.mapInArrow(run, schema)
+def keep_known(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` in whose text a language is found, as they are."""
+    return docs.where(predicted(F.col("text"), model)["lang"] != UNKNOWN)

@@ -351,10 +351,11 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one document of each class: the one with the smallest doc_id, once. Rows that take no part stay."""
     found = near_duplicates(docs, threshold)
     first = cut_lineage(found.where("doc_id = class_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")))
-    ids = first.select(F.col("doc_id").alias("first_id"))
+    ids = first.select("doc_id")
     if small_enough(ids, BROADCAST_ROWS):
         ids = F.broadcast(ids)
-    kept = docs.where("doc_id is not null and text is not null").join(ids, F.col("doc_id") == F.col("first_id"), "left_semi")
+    # A semi-join by name adds no column that could clash with one of ``docs``.
+    kept = docs.where("doc_id is not null and text is not null").join(ids, "doc_id", "left_semi").select(*docs.columns)
     if not first.where("rows > 1").isEmpty():
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null or text is null"))

@@ -337,3 +337,29 @@ def decode(df: DataFrame, pieces: Pieces, column: str = "ids", out: str = "decod
         return decode_batch(shared.value, batch.column(column).cast(pa.large_list(pa.int32())).fill_null(empty))
 
     return _mapped(df, out, T.StringType(), pa.string(), column, lambda b: _id_slices(b, column), work)
+
+
+def encode_verified(
+    df: DataFrame, pieces: Pieces, column: str = "text", out: str = "ids", same: str = "round_trip"
+) -> DataFrame:
+    """``df`` with the ids of ``column`` and whether they decode to the same text (null text: null ids, true).
+
+    One Python worker a task does both, so texts travel once; input columns named ``out`` or ``same`` are replaced.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(pieces)
+    kept = [f for f in df.schema.fields if f.name not in (out, same)]
+    schema = T.StructType([*kept, T.StructField(out, IDS), T.StructField(same, T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, column):
+                texts = texts_of(batch, column)
+                ids = encode_batch(shared.value, texts)
+                equal = pc.equal(decode_batch(shared.value, ids), texts)
+                there = batch.column(column).is_valid()
+                ids = pc.if_else(there, ids.cast(pa.list_(pa.int32())), pa.scalar(None, pa.list_(pa.int32())))
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], ids, equal], schema.names)
+        # Workers are used again by other stages: free memory goes back first.
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)

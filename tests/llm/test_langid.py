@@ -29,6 +29,11 @@ def test_edges(spark):
         [(1, "und"), (2, "und"), (3, "und"), (None, "en"), (4, "de"), (4, "de")], key=str
     )
     assert langid.predict(df.limit(0), model).count() == 0
+    clashing = df.withColumn("lang_pred", F.lit("own")).withColumn("lang_score", F.lit("own")).withColumn("score", F.lit(1))
+    again = [(r["doc_id"], r["lang_pred"]) for r in langid.predict(clashing, model).collect()]
+    assert sorted(again, key=str) == sorted(got, key=str)
+    known = langid.keep_known(clashing, model)
+    assert known.columns == clashing.columns and [r["lang_pred"] for r in known.collect()] == ["own"] * 3
     nothing = langid.train(labelled.limit(0))
     assert {r["lang_pred"] for r in langid.predict(df, nothing).collect()} == {"und"}
     single = langid.train(labelled.where("lang = 'en'"))

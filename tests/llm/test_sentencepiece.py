@@ -134,3 +134,15 @@ def test_frames(spark, pieces):
     assert [r[0] for r in own.decode(odd, pieces).select("decoded").collect()] == ["", "�"]
     clash = df.withColumn("ids", F.lit(0)).withColumn("decoded", F.lit(0))
     assert own.decode(own.encode(clash, pieces), pieces).where("text = 'hello world'").first()["decoded"] == "hello world"
+
+
+def test_verified_in_one_pass(spark, pieces):
+    """The same ids as encoding alone; nulls, repeats and clashing names."""
+    rows = [(1, None, "a", 1), (2, "", "b", 2), (3, "the cat ▁ \x00", "c", 3), (3, "the cat ▁ \x00", "c", 3), (None, "漢\n", None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, round_trip int")
+    got = own.encode_verified(df, pieces).collect()
+    want = own.decode(own.encode(df, pieces), pieces).collect()
+    pairs = [sorted(((r["doc_id"], r["text"], r["ids"], same(r)) for r in rows_), key=str) for rows_, same in (
+        (got, lambda r: r["round_trip"]), (want, lambda r: r["decoded"] == r["text"])
+    )]
+    assert pairs[0] == pairs[1] and own.encode_verified(df.limit(0), pieces).count() == 0
