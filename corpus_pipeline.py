@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from bazaarlens.llm import decontaminate, langid, near, sentencepiece
 from bazaarlens.llm.queries import PIECES, labelled_documents
@@ -18,7 +17,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is found; those without text or letters go."""
     model = langid.train(labelled_documents(docs))
-    return langid.predict(docs, model).where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
+    return langid.keep_known(docs, model)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +31,10 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their piece ids, and whether decoding gives the text again."""
-    pieces = sentencepiece.load_pieces(PIECES)
-    done = sentencepiece.decode(sentencepiece.encode(docs, pieces), pieces)
-    return done.withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text"))).drop("decoded")
+    """Documents with their piece ids, and whether decoding gives the text again.
+
+    Input columns named ids or round_trip are replaced."""
+    return sentencepiece.encode_verified(docs, sentencepiece.load_pieces(PIECES))
 
 
 STAGES: list[tuple[str, Stage]] = [
