@@ -7,11 +7,13 @@ Defined results: null text and null role count as empty strings; a role without
 template of its own is written with its name; rows of one turn number are ordered
 by role, then text; a null turn comes first; repeated rows are turns of their own;
 rows with a null conv_id form one conversation; no rows give no conversations.
-Columns other than the four used are ignored.
+Columns other than the four used are ignored. A conversation is valid if every turn is
+in order and the last one leaves the machine in an accepting state.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -26,8 +28,7 @@ class Template:
 
     ``turns`` maps a role to what opens and closes its text; any other role is
     written as ``other[0] + role + other[1] + text + other[2]``. Every turn ends
-    with ``end``. ``control`` lists the strings that may appear only as markers;
-    each has two characters or more and no backslash.
+    with ``end``. A template that could not be read back raises ValueError.
     """
 
     end: str = "</s>"
@@ -39,9 +40,6 @@ class Template:
         }
     )
     other: tuple[str, str, str] = ("<s>[ROLE] ", " [TEXT] ", "</s>")
-    control: tuple[str, ...] = (
-        "<s>", "</s>", "[SYS]", "[/SYS]", "[INST]", "[/INST]", "[ANS]", "[ROLE]", "[TEXT]",
-    )
     loss_roles: tuple[str, ...] = ("assistant",)
     # (state, role) -> next state; anything else is an error that stays one.
     order: dict[tuple[str, str], str] = field(
@@ -53,6 +51,32 @@ class Template:
             ("assistant", "user"): "user",
         }
     )
+    accepting: tuple[str, ...] = ("assistant",)
+
+    def __post_init__(self) -> None:
+        markers = [self.end, *self.other, *[m for pair in self.turns.values() for m in pair]]
+        openings = [self.other[0], *[start for start, _ in self.turns.values()]]
+        broken = [m for m in markers if ESCAPE in m]
+        broken += [m for m in (self.other[2], *[stop for _, stop in self.turns.values()]) if not m.endswith(self.end)]
+        broken += [a for i, a in enumerate(openings) for j, b in enumerate(openings) if i != j and b.startswith(a)]
+        # What ends a turn or a role has to hold a control string, which no escaped text holds, and may not
+        # overlap itself: then it is found where it was written.
+        for m in (self.end, self.other[1]):
+            if not _control_strings(m) or any(c[:k] == c[-k:] for c in _control_strings(m) for k in range(1, len(c))):
+                broken.append(m)
+        if broken:
+            raise ValueError(f"markers {broken} cannot be told from texts")
+
+    @property
+    def control(self) -> tuple[str, ...]:
+        """The strings that may appear only as markers, the longest first: bracketed names, or a marker without one as a whole."""
+        markers = [self.end, *self.other, *[m for pair in self.turns.values() for m in pair]]
+        return tuple(sorted({c for m in markers for c in _control_strings(m)}, key=lambda c: (-len(c), c)))
+
+
+def _control_strings(marker: str) -> list[str]:
+    named = re.findall(r"<[^<>\s]+>|\[[^\[\]\s]+\]", marker)
+    return named or [x for x in [marker.strip()] if len(x) > 1]
 
 
 DEFAULT = Template()
@@ -84,7 +108,8 @@ def _around(role: Column, template: Template) -> tuple[Column, Column]:
 def format_conversations(rows: DataFrame, template: Template = DEFAULT) -> DataFrame:
     """One row per conversation: ``segments`` (text, loss), ``formatted``, ``valid`` and ``error_turn``.
 
-    ``error_turn`` is the position, from 0, of the first turn out of order, else null.
+    ``error_turn`` is the position, from 0, of the first turn out of order, or the number of turns where
+    one more is wanted, else null.
     """
     turns = rows.select(
         "conv_id",
@@ -126,7 +151,9 @@ def format_conversations(rows: DataFrame, template: Template = DEFAULT) -> DataF
     )
     machine = F.aggregate("turns", start, step)
     segments = F.flatten(F.transform("turns", lambda t: t["segments"]))
-    return conversations.select("conv_id", segments.alias("segments"), machine["error_turn"].alias("error_turn")).select(
+    ended = conversations.select("conv_id", segments.alias("segments"), machine.alias("m"))
+    unfinished = F.when(~F.col("m.state").isin(*template.accepting), F.col("m.at"))
+    return ended.select("conv_id", "segments", F.coalesce("m.error_turn", unfinished).alias("error_turn")).select(
         "conv_id",
         "segments",
         F.concat_ws("", F.transform("segments", lambda s: s["text"])).alias("formatted"),
@@ -137,14 +164,14 @@ def format_conversations(rows: DataFrame, template: Template = DEFAULT) -> DataF
 
 def parse_formatted(formatted: Column, template: Template = DEFAULT) -> Column:
     """The turns (role, text) that a formatted conversation holds, unescaped."""
-    chunks = F.split(formatted, template.end)
+    chunks = F.split(formatted, rf"\Q{template.end}\E")
     chunks = F.slice(chunks, 1, F.size(chunks) - 1)
-    head, middle, _ = template.other
+    head, middle, tail = template.other
 
     def turn(chunk: Column) -> Column:
         at = F.locate(middle, chunk)
         role = F.substring(chunk, F.lit(len(head) + 1), at - len(head) - 1)
-        text = F.substring(chunk, at + len(middle), F.length(chunk))
+        text = F.substring(chunk, at + len(middle), F.length(chunk) - at - len(middle) + 1 - (len(tail) - len(template.end)))
         for name, (start, stop) in template.turns.items():
             own = F.startswith(chunk, F.lit(start))
             inner = F.length(chunk) - len(start) - (len(stop) - len(template.end))

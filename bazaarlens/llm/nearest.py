@@ -14,7 +14,8 @@ Equal vectors are searched once, under their few smallest ids.
 Defined results: vectors that are null, zero, or hold null or non-finite components
 take no part, nor does a null id; queries meet only vectors of their own length; ties
 go to the smaller id; a repeated row is one candidate for each of its rows, and a
-query's own id is never a candidate; with fewer candidates all are returned.
+query's own id is never a candidate; a query id on several rows asks once, with the
+smallest of its vectors; with fewer candidates all are returned.
 """
 
 from __future__ import annotations
@@ -116,7 +117,7 @@ def nearest(vectors: DataFrame, is_query: Column, most: int = 10) -> DataFrame:
         .collect()
     }
     counts = {r["size"]: r["n"] for r in classes.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
-    queries = rows.where("is_query").select("vec_id", "vector", F.size("vector").alias("size"))
+    queries = rows.where("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("size", F.size("vector"))
     asked = {r["size"]: r["n"] for r in queries.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = F.create_map(*[F.lit(x) for s, n in counts.items() for x in (s, -(-n // VECTOR_BLOCK))]) if counts else None
     if blocks is None or not asked:

@@ -18,6 +18,7 @@ def _chat() -> str:
     around = " ".join(f"WHEN '{role}' THEN {len(a) + len(b)}" for role, (a, b) in DEFAULT.turns.items())
     other = sum(map(len, DEFAULT.other))
     allowed = ", ".join(f"'{state}>{role}'" for state, role in DEFAULT.order)
+    accepting = ", ".join(f"'{state}'" for state in DEFAULT.accepting)
     order = "ORDER BY turn NULLS FIRST, role, text"
     return f"""
 WITH rows AS (
@@ -30,7 +31,7 @@ WITH rows AS (
 ), digests AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' {order}) AS all_text,
     string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' {order}) AS loss,
-    sum(chars)::BIGINT AS formatted_chars, bool_and(step IN ({allowed})) AS valid
+    sum(chars)::BIGINT AS formatted_chars, bool_and(step IN ({allowed})) AND last(role {order}) IN ({accepting}) AS valid
   FROM turns GROUP BY conv_id
 )
 SELECT conv_id, n_turns, sha256(all_text) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
@@ -68,8 +69,7 @@ WITH v AS (
 ), pairs AS (
   SELECT q.vec_id AS query_id, v.vec_id AS vec_id,
     sqrt(list_reduce(list_transform(range(1, len(q.e) + 1), lambda i: (q.e[i] - v.e[i]) * (q.e[i] - v.e[i])), lambda s, x: s + x)) AS score
-  FROM v AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
-  WHERE q.vec_id % 100 = 0
+  FROM (SELECT vec_id, min(e) AS e FROM v WHERE vec_id % 100 = 0 GROUP BY vec_id) AS q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e)
 ), ranked AS (
   SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM pairs
 )

@@ -78,6 +78,7 @@ def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     return urls.filter_urls(pages, labelled_urls(spark, sf_dir))
 
@@ -126,10 +127,11 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record, read back from the archive that was made of the WARC files of all pages."""
     folder = warc.write_archive(read(spark, sf_dir, "pages"))
     return warc.read_archive(spark, folder).select(
         "page_id",
-        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        "payload_bytes",
         "payload_digest",
         "record_type",
         "refers_to",

@@ -41,6 +41,18 @@ def test_brute_force(spark, monkeypatch):
     assert nn.nearest(df, F.lit(False)).count() == 0
 
 
+def test_repeated_queries(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(1, 31)] + [(10, [10.0, 1.0])] * 2 + [(20, [-50.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>")
+    got = nn.nearest(df, F.col("vec_id") % 10 == 0).collect()
+    by = {q: [(r["rank"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in (10, 20, 30)}
+    assert by[10] == [(k + 1, i) for k, i in enumerate([9, 11, 8, 12, 7, 13, 6, 14, 5, 15])]
+    # The smallest of the two vectors of 20 asks.
+    assert by[20] == [(k, k) for k in range(1, 10)] + [(10, 10)]
+    # Each row is a candidate of its own.
+    assert [i for _, i in by[30]] == [29, 28, 27, 26, 25, 24, 23, 22, 21, 20]
+
+
 def test_estimates_hold():
     rng = np.random.default_rng(9)
     vectors, queries = rng.standard_normal((400, 64)), rng.standard_normal((20, 64))
