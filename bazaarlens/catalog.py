@@ -243,7 +243,6 @@ MEASURES: dict[str, Query] = {
     "m50_projected_3_months": _measure(forecast.projected_3_months),
     "m51_simulation_text": _measure(forecast.simulation_text),
     "m52_projected_gain": _measure(forecast.projected_gain),
-    "m53_simulation_impact": _measure(forecast.simulation_impact),
     "m54_late_orders_by_seller": _measure(service.late_orders_by_seller),
     "m55_delivered_orders": _measure(base.delivered_orders, [MONTH]),
     "m56_baseline_3_months": _measure(forecast.baseline_3_months),

@@ -9,9 +9,11 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from bazaarlens.functions.text import slug_name
+from bazaarlens.sources.quoted_lines import read_quoted
 from bazaarlens.sources.specs import TABLES, TableSpec
 
 log = logging.getLogger(__name__)
@@ -46,12 +48,15 @@ class LoadedTable:
 
 # ---------------------------------------------------------------- discovery
 def list_csv(spark: SparkSession, folder: str) -> list[str]:
-    """CSV paths directly under ``folder`` on any Hadoop file system."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(folder.rstrip("/") + "/*.csv")
-    file_system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = file_system.globStatus(pattern)
-    return sorted(status.getPath().toString() for status in (found or []))
+    """CSV paths directly under ``folder`` on any Hadoop file system; none if there is no such folder."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv")
+    try:
+        found = files.load(folder).select("path").collect()  # names alone: no content is read
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return []
+    return sorted(r["path"] for r in found)
 
 
 def find_folder(spark: SparkSession, root: str, candidates: tuple[str, ...] = DEFAULT_FOLDERS) -> str:
@@ -89,8 +94,8 @@ def profile_file(spark: SparkSession, path: str) -> FileProfile:
     """Encoding, delimiter and quoted line breaks, from one splittable pass.
 
     A file that is not valid UTF-8 throughout is read as ISO-8859-1. A line with
-    an odd number of quotes means some field holds a line break; only then is
-    the slower, unsplittable multi-line reader used.
+    an odd number of quotes can mean that some field holds a line break; only then are
+    lines joined to records before they are parsed.
     """
     lines = spark.read.text(path)
     header = lines.first()
@@ -105,7 +110,10 @@ def profile_file(spark: SparkSession, path: str) -> FileProfile:
 
 
 def read_raw(spark: SparkSession, path: str, profile: FileProfile) -> DataFrame:
-    """Every column as text, header names as found (the UTF-8 mark is dropped)."""
+    """Every column as text, header names as found (the UTF-8 mark is dropped).
+
+    Of a file with quoted line breaks the multi-line reader gives the header only; the rows come from splits.
+    """
     reader = (
         spark.read.option("header", True)
         .option("sep", profile.delimiter)
@@ -115,7 +123,8 @@ def read_raw(spark: SparkSession, path: str, profile: FileProfile) -> DataFrame:
         .option("multiLine", profile.multiline)
         .option("mode", "PERMISSIVE")
     )
-    return reader.csv(path)
+    df = reader.csv(path)
+    return read_quoted(spark, path, df.columns, profile.delimiter, profile.encoding) if profile.multiline else df
 
 
 def rename_headers(df: DataFrame, spec: TableSpec) -> DataFrame:

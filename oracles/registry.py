@@ -590,9 +590,6 @@ SELECT late_reduction, repurchase_increase, seller_expansion,
 FROM results""",
     "m52_projected_gain": """
 SELECT late_reduction, repurchase_increase, seller_expansion, round(projected - base, 0) AS projected_gain FROM results""",
-    "m53_simulation_impact": """
-SELECT late_reduction, repurchase_increase, seller_expansion, round(impact, 6) AS impact, round(base, 2) AS baseline_3_months
-FROM results""",
     "m54_late_orders_by_seller": f"""
 SELECT seller_id, {_LATE} AS late_orders_by_seller FROM seller_orders_bi GROUP BY 1 HAVING {_LATE} > 0""",
     "m55_delivered_orders": _by_month(f"{_DELIVERED} AS delivered_orders", f"HAVING {_DELIVERED} > 0"),
