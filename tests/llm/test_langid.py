@@ -1,5 +1,8 @@
 """Language identification: held-out accuracy and edge cases."""
 
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from bazaarlens.llm import langid
@@ -17,6 +20,47 @@ def test_held_out_accuracy(spark):
     assert both.score.between(0, 1).all()
 
 
+def plain_prediction(model, text):
+    """Language and score of one text, n-gram by n-gram."""
+    buckets = []
+    for word in re.findall(r"[^\W\d_]+", text.lower()):
+        framed = b"\0" + word.encode() + b"\0"
+        for n in langid.NGRAMS:
+            for at in range(len(framed) - n + 1):
+                code = n
+                for byte in framed[at : at + n]:
+                    code = (code * 0x9E3779B97F4A7C15 + byte) % 2**64
+                    code ^= code >> 29
+                buckets.append(code % langid.DIMENSIONS)
+    if not buckets:
+        return "und", 0.0
+
+    def winner(names):
+        shares = dict.fromkeys(names, 0.0)
+        for duel in model.duels:
+            if duel.first in shares and duel.second in shares:
+                margin = sum(duel.weights[b] for b in buckets) / len(buckets) + duel.bias
+                p = 1 / (1 + math.exp(-max(-30, min(30, 4 * margin))))
+                shares[duel.first] += p
+                shares[duel.second] += 1 - p
+        best = max(names, key=lambda x: shares[x])
+        return best, shares[best] / (len(names) - 1) if len(names) > 1 else 1.0
+
+    family, p = winner(sorted({langid.family_of(x) for x in model.languages}))
+    lang, q = winner([x for x in model.languages if langid.family_of(x) == family])
+    return lang, p * q
+
+
+def test_predictions_by_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    model = langid.train(docs)
+    rows = langid.predict(docs.select("doc_id", "text"), model).collect()
+    assert len(rows) == docs.count() and len(model.languages) > 2
+    for r in rows[::4]:
+        lang, score = plain_prediction(model, r["text"] or "")
+        assert r["lang_pred"] == lang and math.isclose(r["lang_score"], score, abs_tol=1e-9)
+
+
 def test_edges(spark):
     rows = [(i, t, lang) for i, (t, lang) in enumerate([("the and of with", "en"), ("der und das mit", "de"), ("le les des avec", "fr")] * 5)]
     labelled = spark.createDataFrame([*rows, (90, None, "en"), (91, "text", None)], "doc_id long, text string, lang string")

@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm import near
 from bazaarlens.llm.components import components
+from conftest import DATA
 
 
 def grams(text):
@@ -65,6 +67,30 @@ def test_brute_force(spark, monkeypatch):
     assert got == expected(rows)
 
 
+def test_whole_table_by_brute_force(spark):
+    """All pairs of sf0.01 that share a five-word run, or the text, compared on their full sets."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/sf0.01/documents.parquet").collect()]
+    got = {r["doc_id"]: tuple(r) for r in near.near_duplicates(spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")).collect()}
+    sets, holders = {i: grams(t or "") for i, t in rows}, {}
+    for i, t in rows:
+        for gram in sets[i] or {t}:
+            holders.setdefault(gram, []).append(i)
+    shared = Counter(pair for held in holders.values() for pair in itertools.combinations(sorted(held), 2))
+    text, links, least = dict(rows), Counter(), {i: i for i, _ in rows}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for (a, b), both in shared.items():
+        if text[a] == text[b] or both >= 0.8 * len(sets[a] | sets[b]):
+            links.update((a, b))
+            p, q = sorted((root(a), root(b)))
+            least[q] = p
+    assert got == {i: (i, root(i), links[i]) for i, _ in rows} and sum(links.values()) > 100
+
+
 def test_edges(spark):
     text = "one two three four five six seven eight nine ten"
     rows = [(5, text), (3, text), (3, text), (None, text), (9, None), (None, None), (7, ""), (8, "")]
