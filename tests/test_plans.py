@@ -47,6 +47,11 @@ def test_unused_distinct_counts_are_pruned(model):
     assert len(re.findall(r"Location: InMemoryFileIndex \[file:[^]]*lineitem", text)) == 2
 
 
+def test_order_sales_scan_items_once(model):
+    text = plan(model.order_sales)
+    assert len(re.findall(r"Location: InMemoryFileIndex \[file:[^]]*lineitem", text)) == 1
+
+
 def test_top_n_is_cut_before_the_shuffle(model):
     assert "WindowGroupLimit" in plan(catalog.QUERIES["m60_strategic_revenue"](model))
     assert "TakeOrderedAndProject" in plan(catalog.QUERIES["top_detractors"](model))
