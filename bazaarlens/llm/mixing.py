@@ -1,450 +1,494 @@
-"""LM scoring by logistic context mixing over the bits of tokens.
+"""LM scoring by online logistic context mixing over the bits of tokens.
 
 A text is a row of tokens: words of A-Z lower-cased text between ASCII white space,
-then one end. A word is coded as its bytes and a blank, the end as a line feed, so
-the probabilities of all texts add up to one. Each bit is predicted from hashed
-contexts (place, the last 1 to 4 bytes, all of the word so far; the last 1 and 3 bytes
-and the word within a class) by the counts that the training tokens left there. The predictions are mixed in the logistic domain;
-a gate, made of how much the long contexts have seen, selects the weights. The
-result is refined by an adaptive map from (bits of the byte so far, prediction).
-
-A text is a mixture of ``CLASSES`` kinds of text (in practice languages), found
-without labels: some contexts are kept apart by class, every token has a cost in
-each class, and a text's probability is the class shares times the products of its
-tokens' probabilities, added up.
-
-Counts come from all training tokens. Classes, weights and map are fitted on a bounded
-sample of training documents (``SAMPLE_DOCUMENTS``): the classes by expectation
-maximisation, the others online, in small batches, where each token is first taken
-out of the counts it is predicted from. Scoring uses the fitted model as it is.
-
-No context reaches past a token, so a token's costs depend on the token alone: they
-are found once for every different token and joined to the texts by blocks of texts.
-
-Defined results: a null text is an empty one, which has the end only; with no
-training document all counts are 0 and predictions come from empty contexts;
-repeated rows are documents of their own; a null doc_id counts as the text "".
+then one end. The ``LEXICON`` most frequent training words, the end and escapes have
+binary codes (a Huffman tree of their training counts); every other word is an escape,
+then its bytes and a blank. An escape stands for the first ``HEAD`` bytes of the word, if
+they are among the ``ESCAPES`` most frequent ones, or for none. So a text's score is a sum
+over bits, and the probabilities of what can follow add up to one at most (a lexicon word
+could be spelled too).
+
+Each bit of a code is predicted from hashed contexts that reach across tokens: the place
+in the tree alone, with the word before, with the two words before, and with the anchor
+(the most frequent of the ``REACH`` words before, which tells the kind of text). Each bit
+of a spelled byte is predicted from the last 2 to 5 bytes of its word. A context predicts by the zeros and ones that it has seen. Predictions are mixed in the
+logistic domain with weights that a gate selects (what two long contexts have seen), and
+an adaptive map from (place, mixed prediction) to what came true refines the result.
+
+Learning is one pass over all training tokens. A task takes its texts step by step: it
+predicts a step from what it has seen so far, moves the weights and the map by the errors,
+then counts the step. Counts and maps of the tasks add up; their weights are averaged by
+the number of bits. Scoring uses the state after the last step.
+
+The tables have a fixed size, so they may be broadcast. What has none, the counts of
+all words, stays in Spark: words outside the lexicon are counted, spelled and joined to
+the texts there.
+
+Defined results: a null text is an empty one, which has the end only; with no training
+document all counts are 0, every bit costs one bit and only the end and the plain escape
+have codes; repeated rows are documents of their own; null doc_ids are kept; further columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
-from bazaarlens.llm.words import flat_bytes, lowered, slices_by, split_words, sums, texts_of
+from bazaarlens.llm.words import Words, flat_bytes, lowered, slices, slices_by, split_words, sums, texts_of
 from bazaarlens.session import cut_lineage
 
-BLANK, END = 0x20, 0x0A
-CLASSES = 4
-CLASS_WORDS = 1 << 14
-# Slots of the tables of the contexts: place, 1 to 4 bytes, word so far; then by class 1 and 3 bytes, word so far.
-SLOTS = (1 << 12, 1 << 16, 1 << 19, 1 << 20, 1 << 20, 1 << 21, 1 << 18, 1 << 20, 1 << 21)
-STARTS = np.concatenate([[0], np.cumsum(SLOTS)])
-CHUNK = 4096
-# Bytes of text in a block, tokens whose bits are laid out at once, bytes of a sampled document's share.
-BLOCK_BYTES = 16_000_000
-STEP_TOKENS = 10_000
-SAMPLE_DOCUMENTS = 400
-SAMPLE_TOKENS = 120_000
-BATCH_BITS = 2_048
-RATE = 0.02
-MAP_RATE = 0.02
-MAP_STEPS = 24
-GATES = 5 * 5 * 3
-
-
-def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-
-
-@dataclass
-class Bits:
-    """All bits of some tokens, in order: slot in each table, the bit, the bits of its byte so far, its token."""
-
+END, RARE, FIRST = 0, 1, 2
+BLANK = 0x20
+LEXICON = 1 << 16
+LEXICON_BYTES = 64
+ESCAPES, HEAD = 1024, 3
+REACH = 12
+ANCHORS = 4096
+# Bits of the slot numbers in the table of each context.
+TOKEN_SLOTS = (17, 20, 20, 20)
+SPELL_SLOTS = (18, 19, 19, 19)
+TOKEN_CELLS, SPELL_CELLS = 512, 256
+STEP_TOKENS = 16_384
+STEP_BYTES = 16_384
+WORD_BYTES = 1_000_000
+BATCH_BITS = 16_384
+RATE = 0.05
+STEADY = 10.0
+PRIOR = np.float32(0.4)
+MAP_STEPS = 32
+MAP_PRIOR = 30.0
+LEVELS = (0.5, 2.5, 12, 100)
+GATES = (len(LEVELS) + 1) ** 2
+# Numbers in a shipped part of a model's state; tasks whose parts are added in one group.
+CHUNK = 1 << 14
+FAN_IN = 64
+SHARE = 1e6
+ODD = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA24BAED4963EE407, 0xD1B54A32D192ED03)
+
+
+class Bits(NamedTuple):
     slots: np.ndarray  # (contexts, bits), places in the one table that holds all
     bit: np.ndarray
-    node: np.ndarray
-    token: np.ndarray
+    cell: np.ndarray  # row of the adaptive map
+
+
+class Mixing:
+    """Bit predictors, gated weights and adaptive map of one kind of bits."""
+
+    def __init__(self, slot_bits: tuple[int, ...], cells: int):
+        self.slot_bits = slot_bits
+        self.starts = np.concatenate([[0], np.cumsum([1 << b for b in slot_bits])])
+        self.counts = np.zeros((self.starts[-1], 2), np.float32)
+        self.weights = np.full((GATES, len(slot_bits)), 0.4, np.float32)
+        self.map = np.zeros((cells * MAP_STEPS, 2), np.float32)
+        self.bits = 0
+
+    def slots(self, contexts: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Slots of the ``contexts`` (rows of hashes), each taken with the ``node`` of its bit."""
+        out = np.empty(contexts.shape, np.int64)
+        for k, bits in enumerate(self.slot_bits):
+            hashed = (contexts[k] + node) * np.uint64(ODD[0])
+            out[k] = (hashed >> np.uint64(64 - bits)).astype(np.int64) + self.starts[k]
+        return out
+
+    def mixed(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretched predictions, gates, mixed prediction in the logistic domain)."""
+        seen = self.counts[slots]
+        x = np.log((seen[..., 1] + PRIOR) / (seen[..., 0] + PRIOR))
+        long, longer = seen[-1].sum(axis=1), seen[-2].sum(axis=1)
+        gate = sum((long > v).astype(np.int64) for v in LEVELS) * (len(LEVELS) + 1) + sum((longer > v) for v in LEVELS)
+        return x, gate, (self.weights[gate].T * x).sum(axis=0)
+
+    def refined(self, mixed: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(probability of a one, place in the map)."""
+        plain = 1 / (1 + np.exp(-np.clip(mixed.astype(float), -20, 20)))
+        place = cell * MAP_STEPS + np.clip((mixed + 8) * (MAP_STEPS / 16), 0, MAP_STEPS - 1).astype(np.int64)
+        seen = self.map[place].astype(float)
+        true = (seen[:, 1] + MAP_PRIOR * plain) / (seen.sum(axis=1) + MAP_PRIOR)
+        return np.clip((plain + true) / 2, 1e-7, 1 - 1e-7), place
+
+    def costs(self, bits: Bits) -> np.ndarray:
+        """log10 probability of each bit."""
+        _, _, mixed = self.mixed(bits.slots)
+        one, _ = self.refined(mixed, bits.cell)
+        return np.log10(np.where(bits.bit == 1, one, 1 - one))
+
+    def learn(self, bits: Bits, times: np.ndarray | None = None) -> None:
+        """Predicts the bits from what was seen before them, moves weights and map, then counts each ``times`` (once)."""
+        for first in range(0, len(bits.bit), BATCH_BITS):
+            at = slice(first, first + BATCH_BITS)
+            bit = bits.bit[at]
+            x, gate, mixed = self.mixed(bits.slots[:, at])
+            _, place = self.refined(mixed, bits.cell[at])
+            plain = 1 / (1 + np.exp(-np.clip(mixed, -20, 20)))
+            wrong, bend = bit - plain, plain * (1 - plain)
+            for k in range(len(x)):
+                slope = np.bincount(gate, weights=wrong * x[k], minlength=GATES)
+                self.weights[:, k] += RATE * slope / (STEADY + np.bincount(gate, weights=bend * x[k] ** 2, minlength=GATES))
+            np.add.at(self.map.reshape(-1), place * 2 + bit, np.float32(1))
+        flat = self.counts.reshape(-1)
+        added = np.float32(1) if times is None else times.astype(np.float32)
+        for each in bits.slots:
+            np.add.at(flat, each * 2 + bits.bit, added)
+        self.bits += len(bits.bit)
+
+    def state(self) -> np.ndarray:
+        """What adds up over tasks, as one vector: counts, map, weights times bits, bits (in units of ``SHARE``)."""
+        share = self.bits / SHARE
+        return np.concatenate([self.counts.ravel(), self.map.ravel(), self.weights.ravel() * share, [share]]).astype(np.float32)
+
+    def restored(self, state: np.ndarray) -> Mixing:
+        """This model with the added-up ``state``; unchanged where no task saw a bit."""
+        share = float(state[-1])
+        if share > 0:
+            a, b = self.counts.size, self.counts.size + self.map.size
+            self.counts, self.map = state[:a].reshape(-1, 2), state[a:b].reshape(-1, 2)
+            self.weights, self.bits = (state[b:-1] / share).reshape(self.weights.shape).astype(np.float32), round(share * SHARE)
+        return self
+
+
+class Codes:
+    """Binary codes of symbols: a Huffman tree of their counts. Inner nodes are numbered from the root down."""
+
+    def __init__(self, counts: list[int]):
+        heap = [(c, s) for s, c in enumerate(counts)]
+        heapq.heapify(heap)
+        children: list[tuple[int, int]] = []
+        while len(heap) > 1:
+            (a, left), (b, right) = heapq.heappop(heap), heapq.heappop(heap)
+            heapq.heappush(heap, (a + b, len(counts) + len(children)))
+            children.append((left, right))
+        paths: list[tuple[list[int], list[int]]] = [([], [])] * len(counts)
+        front = [(len(counts) + len(children) - 1, [], [])]
+        number = 0
+        while front:
+            below = []
+            for at, nodes, turns in front:
+                if at < len(counts):
+                    paths[at] = (nodes, turns)
+                    continue
+                for turn, child in enumerate(children[at - len(counts)]):
+                    below.append((child, [*nodes, number], [*turns, turn]))
+                number += 1
+            front = below
+        self.lengths = np.array([len(nodes) for nodes, _ in paths], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
+        self.nodes = np.array([n for nodes, _ in paths for n in nodes], np.int64)
+        self.turns = np.array([t for _, turns in paths for t in turns], np.int64)
+
+    def bits(self, model: Mixing, contexts: np.ndarray, ids: np.ndarray) -> tuple[Bits, np.ndarray]:
+        """(bits of the codes of ``ids`` in their ``contexts``, the token of each bit)."""
+        lengths = self.lengths[ids]
+        token = np.repeat(np.arange(len(ids)), lengths)
+        before = np.cumsum(lengths) - lengths
+        at = np.arange(len(token)) + (self.starts[ids] - before)[token]
+        node = self.nodes[at]
+        slots = model.slots(contexts[:, token], node.astype(np.uint64))
+        return Bits(slots, self.turns[at], np.minimum(node, TOKEN_CELLS - 1)), token
+
+
+def hashed(*parts: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(parts[0]), np.uint64)
+    for part, odd in zip(parts, ODD[1:]):
+        out = (out ^ (out >> np.uint64(29))) + (part.astype(np.uint64) + np.uint64(1)) * np.uint64(odd)
+        out = (out ^ (out >> np.uint64(32))) * np.uint64(ODD[0])
+    return out ^ (out >> np.uint64(31))
+
+
+class Lexicon(NamedTuple):
+    """Words with codes of their own, heads of other words with an escape (sorted), and the codes of all symbols.
+
+    Symbols: the end, the plain escape, the words, the escapes of the heads.
+    """
 
+    words: pa.Array
+    heads: np.ndarray
+    codes: Codes
 
-def coded(words: pa.Array, ends: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of ``words``, each closed by a blank, then of ``ends`` end tokens."""
+
+def heads_of(words: pa.Array) -> np.ndarray:
+    """The first ``HEAD`` bytes of each word as a number, -1 for a shorter word."""
     data, bounds = flat_bytes(words)
-    lengths = np.diff(bounds)
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    out = np.full(len(data) + len(lengths) + ends, BLANK, np.uint8)
-    out[np.arange(len(data)) + owner] = data
-    out[len(data) + len(lengths) :] = END
-    sizes = np.concatenate([lengths + 1, np.ones(ends, np.int64)])
-    return out, np.concatenate([[0], np.cumsum(sizes)])
-
-
-def contexts_of(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(contexts without a class, bytes): place, the last 1 to 4 bytes, the word so far of each byte."""
-    n = len(data)
-    lengths = np.diff(offsets)
-    place = np.arange(n) - np.repeat(offsets[:-1], lengths)
-    before = np.zeros((4, n), np.uint64)  # 1 + the byte k places before, 0 past the start
-    for k in range(1, 5):
-        inside = place >= k
-        before[k - 1, inside] = data[np.flatnonzero(inside) - k].astype(np.uint64) + np.uint64(1)
-    contexts = [np.minimum(place, 7).astype(np.uint64)]
-    code = np.zeros(n, np.uint64)
-    for k in range(4):
-        code = code * np.uint64(257) + before[k]
-        contexts.append(code)
-    # The word so far: differences of running sums of bytes times powers by place.
-    powers = np.cumprod(np.full(int(lengths.max(initial=1)) + 1, 0xD6E8FEB86659FD93, np.uint64))
-    running = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers[place])])
-    contexts.append(running[:-1] - running[np.repeat(offsets[:-1], lengths)] + place.astype(np.uint64))
-    return np.stack(contexts)
-
-
-def of_class(contexts: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """The contexts that are kept apart by class: the last 1 and 3 bytes, the word so far; ``klass`` is given for each byte."""
-    inside = klass.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(1)
-    return contexts[[1, 3, 5]] * inside + inside
-
-
-def slots_of(contexts: np.ndarray, node: np.ndarray, first: int) -> np.ndarray:
-    """(contexts, bits): slots of all bits in the tables from number ``first`` on."""
-    mixed = (contexts ^ (contexts >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    slots = np.empty((len(contexts), *node.shape), np.int64)
-    for k, each in enumerate(mixed):
-        h = (each[:, None] + node) * np.uint64(0xA24BAED4963EE407)
-        h ^= h >> np.uint64(32)
-        slots[k] = (h % np.uint64(SLOTS[first + k])).astype(np.int64) + STARTS[first + k]
-    return slots.reshape(len(contexts), -1)
-
-
-def nodes_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bit, bits of its byte so far with a leading one), both (bytes, 8), from the highest bit."""
-    bit = np.unpackbits(data[:, None], axis=1)
-    node = np.ones((len(data), 8), np.uint64)
-    for k in range(1, 8):
-        node[:, k] = node[:, k - 1] * np.uint64(2) + bit[:, k - 1]
-    return bit, node
-
-
-def bits_of(data: np.ndarray, offsets: np.ndarray, klass: np.ndarray) -> Bits:
-    """The bits of the coded tokens ``data[offsets[i]:offsets[i + 1]]``, each in its class."""
-    lengths = np.diff(offsets)
-    contexts = contexts_of(data, offsets)
-    bit, node = nodes_of(data)
-    slots = slots_of(np.concatenate([contexts, of_class(contexts, np.repeat(klass, lengths))]), node, 0)
-    token = np.repeat(np.arange(len(lengths)), lengths)
-    return Bits(slots, bit.ravel(), node.ravel().astype(np.int64), np.repeat(token, 8))
-
-
-@dataclass
-class Mixer:
-    counts: np.ndarray  # (2, slots) of zeros and ones
-    weights: np.ndarray  # (gates, contexts)
-    map: np.ndarray  # (256, MAP_STEPS)
-
-
-def _looked_up(counts: np.ndarray, slots: np.ndarray, bit: np.ndarray, own: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions, occurrences) of ``slots``; ``own`` occurrences of each bit are taken out of the counts."""
-    zeros, ones = counts[0][slots].astype(float), counts[1][slots].astype(float)
-    if own:
-        zeros, ones = np.maximum(0, zeros - own * (bit == 0)), np.maximum(0, ones - own * (bit == 1))
-    # The difference of logarithms is finite at any count; a ratio in single precision rounds to 1.
-    return np.log(ones + 0.3) - np.log(zeros + 0.3), zeros + ones
-
-
-def _gates(own_word: np.ndarray, word: np.ndarray, three: np.ndarray) -> np.ndarray:
-    """Gate by what the word so far (of the class, of all) and the last three bytes (of the class) have seen."""
-    steps = [0.5, 2.5, 12, 100]
-    return (np.digitize(own_word, steps) * 5 + np.digitize(word, steps)) * 3 + np.digitize(three, [2.5, 100])
-
-
-def _inputs(counts: np.ndarray, bits: Bits, at: slice, own: int) -> tuple[np.ndarray, np.ndarray]:
-    """(stretched predictions, gates) of the bits ``at``; ``own`` occurrences of each bit are taken out of the counts."""
-    x, seen = _looked_up(counts, bits.slots[:, at], bits.bit[at], own)
-    return x, _gates(seen[8], seen[5], seen[7])
-
-
-def _map_at(node: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    return np.clip((mixed + 8) / 16 * MAP_STEPS, 0, MAP_STEPS - 1).astype(np.int64)
-
-
-def fit(counts: np.ndarray, words: pa.Array, klass: np.ndarray) -> Mixer:
-    """Online fit of weights and map on sampled training words and their classes."""
-    steps = squash((np.arange(MAP_STEPS) + 0.5) / MAP_STEPS * 16 - 8)
-    mixer = Mixer(counts, np.full((GATES, len(SLOTS)), 1.0 / 3), np.tile(steps, (256, 1)))
-    data, offsets = coded(words)
-    order = np.random.default_rng(5).permutation(len(offsets) - 1)
-    for first in range(0, len(order), STEP_TOKENS):
-        some = order[first : first + STEP_TOKENS]
-        sizes = np.diff(offsets)[some]
-        bounds = np.concatenate([[0], np.cumsum(sizes)])
-        place = np.repeat(offsets[some], sizes) + np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
-        bits = bits_of(data[place], bounds, klass[some])
-        for at in range(0, len(bits.bit), BATCH_BITS):
-            span = slice(at, at + BATCH_BITS)
-            x, gate = _inputs(counts, bits, span, 1)
-            bit, node = bits.bit[span], bits.node[span]
-            mixed = (mixer.weights[gate].T * x).sum(axis=0)
-            wrong = bit - squash(mixed)
-            for k in range(len(SLOTS)):
-                change = np.bincount(gate, weights=wrong * x[k], minlength=GATES)
-                mixer.weights[:, k] += RATE * change / np.sqrt(1 + np.bincount(gate, minlength=GATES))
-            cell = node * MAP_STEPS + _map_at(node, mixed)
-            seen = np.bincount(cell, minlength=mixer.map.size)
-            ones = np.bincount(cell, weights=bit, minlength=mixer.map.size)
-            rate = 1 - (1 - MAP_RATE) ** seen
-            mean = ones / np.maximum(1, seen)
-            mixer.map += (rate * (mean - mixer.map.ravel())).reshape(mixer.map.shape)
-    return mixer
-
-
-def token_costs(mixer: Mixer, words: pa.Array, ends: int = 0) -> np.ndarray:
-    """log10 probability of each word, then of each end token, in each class (tokens x classes)."""
-    data, offsets = coded(words, ends)
-    out = np.zeros((len(offsets) - 1, CLASSES))
-    # Long tokens have many bits: steps are cut by bytes, not by tokens.
-    limits = np.searchsorted(offsets, np.arange(0, offsets[-1], STEP_TOKENS * 8), side="left")
-    limits = np.unique(np.concatenate([limits, [len(offsets) - 1]]))
-    for a, b in zip(limits[:-1], limits[1:]):
-        part, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        # What does not depend on the class is looked up once for all classes.
-        contexts = contexts_of(part, bounds)
-        bit, node = nodes_of(part)
-        flat, at = bit.ravel(), node.ravel().astype(np.int64)
-        x, seen = _looked_up(mixer.counts, slots_of(contexts, node, 0), flat)
-        shared = len(contexts)
-        for k in range(CLASSES):
-            own = slots_of(of_class(contexts, np.full(len(part), k)), node, shared)
-            own_x, own_seen = _looked_up(mixer.counts, own, flat)
-            weights = mixer.weights[_gates(own_seen[2], seen[5], own_seen[1])].T
-            mixed = (weights[:shared] * x).sum(axis=0) + (weights[shared:] * own_x).sum(axis=0)
-            p = (squash(mixed) + mixer.map[at, _map_at(at, mixed)]) / 2
-            p = np.clip(np.where(flat == 1, p, 1 - p), 1e-9, 1)
-            out[a:b, k] = np.add.reduceat(np.log10(p), bounds[:-1] * 8)
+    full = np.flatnonzero(np.diff(bounds) >= HEAD)
+    out = np.full(len(words), -1, np.int64)
+    out[full] = sum(data[bounds[full] + k].astype(np.int64) << 8 * (HEAD - 1 - k) for k in range(HEAD))
     return out
 
 
-def word_slots(words: pa.Array) -> np.ndarray:
-    """Place of each word in the tables of the classes."""
+def escapes_of(words: pa.Array, heads: np.ndarray) -> np.ndarray:
+    """Place in ``heads`` of the head of each word, -1 where it is not there."""
+    if not len(heads):
+        return np.full(len(words), -1, np.int64)
+    own = heads_of(words)
+    at = np.minimum(np.searchsorted(heads, own), len(heads) - 1)
+    return np.where(heads[at] == own, at, -1)
+
+
+class Tokens(NamedTuple):
+    ids: np.ndarray  # of all tokens, ends included
+    offsets: np.ndarray  # text i has ids[offsets[i]:offsets[i + 1]]
+    keys: np.ndarray  # (word before, word two before, anchor) of each token
+
+
+def tokens_of(words: Words, lexicon: Lexicon) -> Tokens:
+    """The tokens of split texts and what their contexts are made of; nothing reaches into another text."""
+    known = pc.fill_null(pc.index_in(words.distinct, value_set=lexicon.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    escape = escapes_of(words.distinct, lexicon.heads)
+    known = np.where(known >= 0, known + FIRST, np.where(escape >= 0, escape + FIRST + len(lexicon.words), RARE))
+    ids = np.insert(known[words.codes], words.offsets[1:], END)
+    offsets = words.offsets + np.arange(len(words.offsets))
+    place = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
+    before = np.full((2, len(ids)), END)
+    anchor = np.full(len(ids), ANCHORS - 1)
+    spelled_from = FIRST + len(lexicon.words)
+    for k in range(1, REACH + 1):
+        inside = np.flatnonzero(place >= k)
+        back = ids[inside - k]
+        if k <= 2:
+            before[k - 1, inside] = back
+        anchor[inside] = np.minimum(anchor[inside], np.where((back >= FIRST) & (back < spelled_from), back, ANCHORS - 1))
+    return Tokens(ids, offsets, np.stack([*before, anchor]))
+
+
+def token_contexts(keys: np.ndarray) -> np.ndarray:
+    one, two, anchor = keys
+    return np.stack([np.zeros(len(one), np.uint64), hashed(anchor), hashed(one, two), hashed(one)])
+
+
+def learn_tokens(model: Mixing, codes: Codes, tokens: Tokens) -> None:
+    for first in range(0, len(tokens.ids), STEP_TOKENS):
+        at = slice(first, first + STEP_TOKENS)
+        model.learn(codes.bits(model, token_contexts(tokens.keys[:, at]), tokens.ids[at])[0])
+
+
+def token_costs(model: Mixing, codes: Codes, tokens: Tokens) -> np.ndarray:
+    """log10 probability of each token. Equal tokens in equal contexts are looked up once."""
+    one, two, anchor = tokens.keys
+    packed = ((anchor << 17 | one) << 17 | two) << 17 | tokens.ids
+    _, chosen, back = np.unique(packed, return_index=True, return_inverse=True)
+    out = np.zeros(len(chosen))
+    for first in range(0, len(chosen), STEP_TOKENS):
+        some = chosen[first : first + STEP_TOKENS]
+        bits, token = codes.bits(model, token_contexts(tokens.keys[:, some]), tokens.ids[some])
+        out[first : first + len(some)] = np.bincount(token, weights=model.costs(bits), minlength=len(some))
+    return out[back]
+
+
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the words, each closed by a blank; offsets of the words; contexts of the bytes)."""
     data, bounds = flat_bytes(words)
-    if not len(words):
-        return np.zeros(0, np.int64)
-    powers = np.cumprod(np.full(int(np.diff(bounds).max()), 0x9E3779B97F4A7C15, np.uint64))
-    place = np.arange(len(data)) - np.repeat(bounds[:-1], np.diff(bounds))
-    code = np.add.reduceat(data.astype(np.uint64) * powers[place], bounds[:-1])
-    return ((code ^ (code >> np.uint64(33))) % np.uint64(CLASS_WORDS)).astype(np.int64)
-
-
-def fit_classes(documents: list[np.ndarray], starts: int = 12, rounds: int = 15) -> np.ndarray:
-    """Log probabilities (word slots x classes) of a mixture of multinomials, from the word slots of sampled documents.
-
-    Expectation maximisation with hard members, from several random sets of documents; the likeliest end is taken.
-    """
-    counts = np.stack([np.bincount(d, minlength=CLASS_WORDS) for d in documents if len(d)] or [np.zeros(CLASS_WORDS)])
-    counts = counts.astype(np.float32)
-    rng = np.random.default_rng(8)
-    best = (-np.inf, np.full((CLASS_WORDS, CLASSES), -math.log(CLASS_WORDS)))
-    for _ in range(starts):
-        chosen = np.zeros((len(counts), CLASSES), np.float32)
-        picked = rng.permutation(len(counts))[: CLASSES * 3]
-        chosen[picked, np.arange(len(picked)) % CLASSES] = 1
-        for _ in range(rounds):
-            mass = counts.T @ chosen + np.float32(0.02)
-            table = np.log(mass / mass.sum(axis=0))
-            fitted = counts @ table
-            again = np.eye(CLASSES, dtype=np.float32)[fitted.argmax(axis=1)]
-            if (again == chosen).all():
-                break
-            chosen = again
-        if fitted.max(axis=1).sum() > best[0]:
-            best = (float(fitted.max(axis=1).sum()), table.astype(float))
-    return best[1]
-
-
-def add_counts(table: np.ndarray, words: pa.Array, trained: np.ndarray) -> None:
-    """Adds the occurrences (words x classes) of ``words`` to the slots of ``table``."""
-    at, klass = np.nonzero(trained)
-    for first in range(0, len(at), STEP_TOKENS):
-        some, kinds = at[first : first + STEP_TOKENS], klass[first : first + STEP_TOKENS]
-        bits = bits_of(*coded(words.take(pa.array(some))), kinds)
-        weight = trained[some, kinds].astype(float)[bits.token]
-        for k in range(len(SLOTS)):
-            base, size = STARTS[k], SLOTS[k]
-            for value in (0, 1):
-                here = bits.bit == value
-                table[value, base : base + size] += np.bincount(bits.slots[k][here] - base, weights=weight[here], minlength=size)
-
-
-def context_counts(vocabulary: DataFrame) -> np.ndarray:
-    """Counts (zeros and ones) of all slots from the table (word, t0, t1, ...); tables of a fixed size are added up by chunks."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, STARTS[-1]))
-        for whole in batches:
-            for batch in slices_by(whole, np.ones(whole.num_rows), 4 * STEP_TOKENS):
-                trained = np.stack([batch.column(f"t{k}").to_numpy(zero_copy_only=False) for k in range(CLASSES)], axis=1)
-                add_counts(table, batch.column("word").cast(pa.large_utf8()), trained)
-        for at in range(0, STARTS[-1], CHUNK):
-            part = table[:, at : at + CHUNK]
-            if part.any():
-                yield _chunk(at // CHUNK, part)
+    lengths = np.diff(bounds)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    coded = np.full(len(data) + len(lengths), BLANK, np.uint8)
+    coded[np.arange(len(data)) + owner] = data
+    offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
+    place = np.arange(len(coded)) - np.repeat(offsets[:-1], lengths + 1)
+    last = np.zeros((5, len(coded)), np.int64)
+    for k in range(1, 6):
+        inside = np.flatnonzero(place >= k)
+        last[k - 1, inside] = coded[inside - k].astype(np.int64) + 1
+    contexts = [hashed(last[0], last[1])]
+    for k in range(2, 5):
+        contexts.append(hashed(contexts[-1], last[k]))
+    return coded, offsets, np.stack(contexts)
+
+
+def spelled_bits(model: Mixing, data: np.ndarray, contexts: np.ndarray) -> Bits:
+    """The bits of some bytes, from the highest one of each; the node is the bits of the byte so far after a one."""
+    bit = np.unpackbits(data[:, None], axis=1).astype(np.int64)
+    node = np.ones((len(data), 8), np.int64)
+    for k in range(1, 8):
+        node[:, k] = node[:, k - 1] * 2 + bit[:, k - 1]
+    node = node.ravel()
+    return Bits(model.slots(np.repeat(contexts, 8, axis=1), node.astype(np.uint64)), bit.ravel(), node)
 
-    def add(parts: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, np.float32).astype(float) for x in parts.column("counts").to_pylist())
-        return pa.Table.from_batches([_chunk(parts.column("chunk")[0].as_py(), total.reshape(2, -1))])
 
-    schema = "chunk int, counts binary"
-    parts = vocabulary.where("trained > 0").mapInArrow(run, schema).groupBy("chunk").applyInArrow(add, schema)
-    counts = np.zeros((2, STARTS[-1]), np.float32)
-    for row in parts.collect():
-        counts[:, row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["counts"], np.float32).reshape(2, -1)
-    return counts
+def learn_spelling(model: Mixing, words: pa.Array, times: np.ndarray) -> None:
+    data, offsets, contexts = spelled(words)
+    each = np.repeat(times, np.diff(offsets))
+    for first in range(0, len(data), STEP_BYTES):
+        at = slice(first, first + STEP_BYTES)
+        model.learn(spelled_bits(model, data[at], contexts[:, at]), np.repeat(each[at], 8))
 
 
-def _chunk(number: int, part: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([number], pa.int32()), pa.array([part.astype(np.float32).tobytes()], pa.binary())], ["chunk", "counts"]
-    )
+def spelling_costs(model: Mixing, words: pa.Array, heads: np.ndarray) -> np.ndarray:
+    """log10 probability of the bytes of each word and the blank after it, without a head that its escape stands for.
 
+    Steps are cut by bytes, also within a word."""
+    data, offsets, contexts = spelled(words)
+    out = np.zeros(len(data))
+    for first in range(0, len(data), STEP_BYTES):
+        at = slice(first, first + STEP_BYTES)
+        out[at] = model.costs(spelled_bits(model, data[at], contexts[:, at])).reshape(-1, 8).sum(axis=1)
+    told = offsets[:-1][escapes_of(words, heads) >= 0]
+    for k in range(HEAD):
+        out[told + k] = 0
+    return sums(out, offsets)
 
-def add_ends(counts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Adds one end token for each training document, by class."""
-    for kind, n in enumerate(ends.tolist()):
-        bits = bits_of(*coded(pa.array([], pa.large_utf8()), 1), np.array([kind]))
-        for k in range(len(SLOTS)):
-            np.add.at(counts, (bits.bit.astype(np.int64), bits.slots[k]), n)
-    return counts
 
+def learned(rows: DataFrame, fresh: Callable[[], Mixing], feed: Callable[[Mixing, pa.RecordBatch], None]) -> Mixing:
+    """One model out of all ``rows``: each task feeds its rows to a ``fresh`` one, the states are added up part by part.
 
-def _sampled_words(sample: DataFrame) -> list[pa.Array]:
-    """Of each sampled text at most ``SAMPLE_TOKENS / SAMPLE_DOCUMENTS`` words, at even distances over the whole text."""
-    share = SAMPLE_TOKENS // SAMPLE_DOCUMENTS
+    A state has a fixed size. At most ``FAN_IN`` tasks meet in a group of the first sum, their sums in the second.
+    """
+    schema = "part int, task int, state binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fresh()
         for batch in batches:
-            for part in slices_by(batch, np.ones(batch.num_rows), 1):
-                words = split_words(lowered(texts_of(part, "text")))
-                codes = words.codes[:: max(1, -(-len(words.codes) // share))]
-                yield pa.RecordBatch.from_arrays([pa.array([words.distinct.take(pa.array(codes)).to_pylist()], pa.list_(pa.string()))], ["words"])
+            feed(model, batch)
+        if model.bits:
+            state = model.state()
+            for part, first in enumerate(range(0, len(state), CHUNK)):
+                yield _part(part, 0, state[first : first + CHUNK])
 
-    return [pa.array(r["words"], pa.large_utf8()) for r in sample.select("text").mapInArrow(run, "words array<string>").collect()]
+    def add(parts: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_py(), np.float32).astype(float) for x in parts.column("state"))
+        return pa.Table.from_batches([_part(parts.column("part")[0].as_py(), parts.column("task")[0].as_py(), total)])
 
+    states = rows.mapInArrow(run, schema).withColumn("task", (F.spark_partition_id() / FAN_IN).cast("int"))
+    added = states.groupBy("part", "task").applyInArrow(add, schema).groupBy("part").applyInArrow(add, schema)
+    model = fresh()
+    state = model.state()
+    for row in added.collect():
+        piece = np.frombuffer(row["state"], np.float32)
+        state[row["part"] * CHUNK : row["part"] * CHUNK + len(piece)] = piece
+    return model.restored(state)
 
-def count_words(dealt: DataFrame, classes: np.ndarray) -> DataFrame:
-    """(block, word, t0, t1, ...): occurrences of each word of a block in training documents by class; 0 where only held out.
 
-    The row with a null word counts the training documents. A block is one group, of about ``BLOCK_BYTES``.
-    """
+def _part(part: int, task: int, state: np.ndarray) -> pa.RecordBatch:
+    columns = [pa.array([part], pa.int32()), pa.array([task], pa.int32()), pa.array([state.astype(np.float32).tobytes()], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["part", "task", "state"])
 
-    def run(texts: pa.Table) -> pa.Table:
-        block = texts.column("block")[0].as_py()
-        found = split_words(lowered(texts_of(texts.combine_chunks().to_batches()[0], "text")))
-        train = ~texts.column("held_out").to_numpy()
-        kind = sums(classes[word_slots(found.distinct)][found.codes], found.offsets).argmax(axis=1)
-        size = len(found.distinct)
-        each = np.repeat(kind * train + (CLASSES * ~train), np.diff(found.offsets))
-        trained = np.bincount(each * size + found.codes, minlength=(CLASSES + 1) * size).reshape(CLASSES + 1, size)
-        ends = np.bincount(kind[train], minlength=CLASSES)
-        words = pa.concat_arrays([found.distinct.cast(pa.string()), pa.array([None], pa.string())])
-        columns = [np.append(trained[k], ends[k]) for k in range(CLASSES)]
-        return pa.table([pa.array(np.full(size + 1, block, np.int32)), words, *map(pa.array, columns)], ["block", "word", *KIND_COLUMNS])
 
-    schema = "block int, word string, " + ", ".join(f"{c} long" for c in KIND_COLUMNS)
-    return dealt.groupBy("block").applyInArrow(run, schema)
+def count_words(rows: DataFrame) -> DataFrame:
+    """(word, trained): every word and its occurrences in training documents, 0 for one that is only held out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                found = split_words(lowered(texts_of(part, "text")))
+                train = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                counts = np.bincount(found.codes[np.repeat(train, np.diff(found.offsets))], minlength=len(found.distinct))
+                yield pa.RecordBatch.from_arrays([found.distinct.cast(pa.string()), pa.array(counts, pa.int64())], ["word", "trained"])
 
-KIND_COLUMNS = [f"t{k}" for k in range(CLASSES)]
-COST_COLUMNS = [f"cost{k}" for k in range(CLASSES)]
-NAMES = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"]
+    counted = rows.select("text", "held_out").mapInArrow(run, "word string, trained long")
+    return counted.groupBy("word").agg(F.sum("trained").alias("trained"))
 
 
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of ``docs``."""
     spark = docs.sparkSession
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", held_out.alias("held_out"), text.alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // BLOCK_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
-    chosen = rows.where(~F.col("held_out")).select("doc_id").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(SAMPLE_DOCUMENTS)
-    ids = F.broadcast(chosen.distinct().withColumnRenamed("doc_id", "chosen"))
-    sampled = _sampled_words(rows.join(ids, F.col("doc_id").eqNullSafe(F.col("chosen")), "left_semi").where(~F.col("held_out")))
-    classes = fit_classes([word_slots(words) for words in sampled])
-    # Words are counted inside each block, so a frequent word is one row a block.
-    block_words = cut_lineage(count_words(rows, classes))
-    ends = np.array([int(x or 0) for x in block_words.where("word is null").agg(*[F.sum(c) for c in KIND_COLUMNS]).first()])
-    block_words = block_words.where("word is not null")
-    vocabulary = block_words.groupBy("word").agg(*[F.sum(c).alias(c) for c in KIND_COLUMNS])
-    vocabulary = cut_lineage(vocabulary.withColumn("trained", sum(F.col(c) for c in KIND_COLUMNS)))
-    total, distinct = vocabulary.where("trained > 0").agg(F.sum("trained"), F.count(F.lit(1))).first()
-    n_ends = int(ends.sum())
-    total, distinct = int(total or 0) + n_ends, distinct + (n_ends > 0)
-    counts = add_ends(context_counts(vocabulary), ends)
-    kinds = [int(classes[word_slots(w)].sum(axis=0).argmax()) for w in sampled]
-    tokens = pa.concat_arrays(sampled) if sampled else pa.array([], pa.large_utf8())
-    mixer = fit(counts, tokens, np.repeat(kinds, [len(w) for w in sampled]).astype(np.int64))
-    shared = spark.sparkContext.broadcast(mixer)
+    rows = docs.select("doc_id", held_out.alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    training = rows.where(~F.col("held_out"))
+    vocabulary = cut_lineage(count_words(rows))
+    n_ends = training.count()
+    in_words, distinct = vocabulary.where("trained > 0").agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.lit(1))).first()
+    total, distinct = in_words + n_ends, distinct + (n_ends > 0)
     unseen = math.log10(total + distinct + 1)
-    end_cost = token_costs(mixer, pa.array([], pa.large_utf8()), 1)[0]
-    end_base = math.log10(n_ends + 1) - unseen
-    prior = np.log10((ends + 1) / (n_ends + CLASSES))
+
+    frequent = vocabulary.where((F.col("trained") > 1) & (F.octet_length("word") <= LEXICON_BYTES))
+    listed = frequent.orderBy(F.desc("trained"), "word").limit(LEXICON).collect()
+    words = pa.array([r["word"] for r in listed], pa.large_utf8())
+    # The heads of the words that are spelled; the lexicon is small, so it is taken out by a join with a proven bound.
+    lexicon_rows = F.broadcast(spark.createDataFrame([(r["word"],) for r in listed], "word string"))
+    others = vocabulary.join(lexicon_rows, "word", "left_anti")
+    head = F.hex(F.substring(F.encode("word", "UTF-8"), 1, HEAD))
+    headed = others.where((F.col("trained") > 0) & (F.octet_length("word") >= HEAD)).groupBy(head.alias("head"))
+    chosen = headed.agg(F.sum("trained").alias("n")).orderBy(F.desc("n"), "head").limit(ESCAPES).collect()
+    heads = sorted((int(r["head"], 16), r["n"]) for r in chosen)
+    in_lexicon, in_heads = sum(r["trained"] for r in listed), sum(n for _, n in heads)
+    trained = np.array([n_ends, 0, *[r["trained"] for r in listed], *[0] * len(heads)], np.int64)
+    codes = Codes([n_ends + 1, in_words - in_lexicon - in_heads + 1, *[r["trained"] for r in listed], *[n for _, n in heads]])
+    shared_lexicon = spark.sparkContext.broadcast(Lexicon(words, np.array([h for h, _ in heads], np.int64), codes))
+
+    def feed_tokens(model: Mixing, batch: pa.RecordBatch) -> None:
+        for part in slices(batch, "text"):
+            learn_tokens(model, shared_lexicon.value.codes, tokens_of(split_words(lowered(texts_of(part, "text"))), shared_lexicon.value))
+
+    tokens_model = learned(training.select("text"), lambda: Mixing(TOKEN_SLOTS, TOKEN_CELLS), feed_tokens)
+
+    def feed_spelling(model: Mixing, batch: pa.RecordBatch) -> None:
+        for part in slices_by(batch, pc.binary_length(batch.column("word")).to_numpy(zero_copy_only=False), WORD_BYTES):
+            learn_spelling(model, part.column("word").cast(pa.large_utf8()), part.column("trained").to_numpy())
+
+    spread = others.repartition(spark.sparkContext.defaultParallelism, "word")
+    spelling_model = learned(spread.where("trained > 0"), lambda: Mixing(SPELL_SLOTS, SPELL_CELLS), feed_spelling)
+    shared_models = spark.sparkContext.broadcast((tokens_model, spelling_model))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, model = shared_models.value
         for batch in batches:
-            costs = token_costs(shared.value, batch.column("word").cast(pa.large_utf8())).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(costs[:, k]) for k in range(CLASSES)]], ["word", "trained", *COST_COLUMNS])
-
-    priced = vocabulary.select("word", "trained").mapInArrow(price, "word string, trained long, " + ", ".join(f"{c} float" for c in COST_COLUMNS))
-    lists = block_words.select("block", "word").join(priced, "word")
-
-    def score(texts: pa.Table, known: pa.Table) -> pa.Table:
-        listed = known.column("word").combine_chunks().cast(pa.large_utf8())
-        trained = known.column("trained").to_numpy()
-        costs = np.stack([known.column(c).to_numpy() for c in COST_COLUMNS], axis=1).astype(float)
-        out = []
-        for whole in texts.to_batches():
-            for batch in slices_by(whole, pc.binary_length(texts_of(whole, "text")).to_numpy(zero_copy_only=False), 4_000_000):
-                own = texts_of(batch, "text")
-                found = split_words(lowered(own))
-                at = pc.index_in(found.distinct, value_set=listed).to_numpy(zero_copy_only=False).astype(np.int64)
-                c = trained[at]
-                each = np.column_stack([c > 0, np.log10(c + 1) - unseen, costs[at]])
-                summed = sums(each[found.codes], found.offsets)
-                count = np.diff(found.offsets) + 1
-                by_class = summed[:, 2:] + end_cost + prior
-                top = by_class.max(axis=1)
-                scored = top + np.log10((10 ** (by_class - top[:, None])).sum(axis=1))
+            for part in slices_by(batch, pc.binary_length(batch.column("word")).to_numpy(zero_copy_only=False), WORD_BYTES):
+                costs = spelling_costs(model, part.column("word").cast(pa.large_utf8()), shared_lexicon.value.heads)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(costs)], ["word", "trained", "cost"])
+
+    priced = spread.mapInArrow(price, "word string, trained long, cost double")
+
+    base_of = np.log10(trained + 1) - unseen
+    spelled_from = FIRST + len(words)
+    base_of[RARE] = 0
+    base_of[spelled_from:] = 0
+    known_of = trained > 0
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = shared_lexicon.value
+        model, _ = shared_models.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                texts = texts_of(part, "text")
+                found = split_words(lowered(texts))
+                tokens = tokens_of(found, lexicon)
+                costs = token_costs(model, lexicon.codes, tokens)
+                at = tokens.offsets
+                owner = np.repeat(np.arange(len(texts)), np.diff(at))
+                # Words outside the lexicon, once a text, with their number of occurrences.
+                rare = np.flatnonzero((tokens.ids == RARE) | (tokens.ids >= spelled_from))
+                size = max(1, len(found.distinct))
+                pairs, times = np.unique(owner[rare] * size + found.codes[rare - owner[rare]], return_counts=True)
+                bounds = np.searchsorted(pairs // size, np.arange(len(texts) + 1)).astype(np.int32)
+                spelled_words = found.distinct.take(pa.array(pairs % size)).cast(pa.string())
+                listed_words = pa.StructArray.from_arrays([spelled_words, pa.array(times, pa.int64())], ["word", "times"])
                 columns = [
-                    batch.column("doc_id"),
-                    batch.column("held_out"),
-                    pa.array(count, pa.int64()),
-                    pa.array(summed[:, 0].astype(np.int64) + (n_ends > 0), pa.int64()),
-                    pa.array(np.full(len(count), total), pa.int64()),
-                    pa.array(summed[:, 1] + end_base),
-                    pa.array(scored),
-                    pa.array(-scored * math.log2(10) / np.maximum(1, pc.binary_length(own).to_numpy(zero_copy_only=False))),
+                    part.column("doc_id"),
+                    part.column("held_out"),
+                    pa.array(np.diff(at), pa.int64()),
+                    pa.array(sums(known_of[tokens.ids].astype(float), at).astype(np.int64)),
+                    pa.array(sums(base_of[tokens.ids], at)),
+                    pa.array(sums(costs, at)),
+                    pc.binary_length(texts).cast(pa.int64()),
+                    pa.ListArray.from_arrays(pa.array(bounds), listed_words),
                 ]
-                out.append(pa.RecordBatch.from_arrays(columns, NAMES))
-        return pa.Table.from_batches(out) if out else empty
-
-    id_type = docs.schema["doc_id"].dataType
-    empty = pa.table(
-        {n: pa.array([], t) for n, t in zip(NAMES, [to_arrow_type(id_type), pa.bool_(), *[pa.int64()] * 3, *[pa.float64()] * 3])}
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "cost", "n_bytes", "rare"])
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, cost double, n_bytes long"
+    scored = rows.mapInArrow(score, f"{schema}, rare array<struct<word: string, times: long>>")
+    scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()))
+    rare_words = scored.select("row", F.inline("rare")).join(priced, "word")
+    rest = rare_words.groupBy("row").agg(
+        F.sum(F.when(F.col("trained") > 0, F.col("times")).otherwise(0)).alias("more_known"),
+        F.sum(F.col("times") * (F.log10(F.col("trained") + 1) - unseen)).alias("more_base"),
+        F.sum(F.col("times") * F.col("cost")).alias("more_cost"),
     )
-    return (
-        rows.select("block", "doc_id", "held_out", "text")
-        .groupBy("block")
-        .cogroup(lists.groupBy("block"))
-        .applyInArrow(
-            score,
-            f"doc_id {id_type.simpleString()}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
-        )
+    full = scored.drop("rare").join(rest, "row", "left")
+    whole = F.col("cost") + F.coalesce(F.col("more_cost"), F.lit(0.0))
+    return full.select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("known") + F.coalesce(F.col("more_known"), F.lit(0))).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"),
+        (F.col("base") + F.coalesce(F.col("more_base"), F.lit(0.0))).alias("base_score"),
+        whole.alias("score"),
+        (-whole * math.log2(10) / F.greatest(F.lit(1), "n_bytes")).alias("bits_per_byte"),
     )
