@@ -48,17 +48,17 @@ from bazaarlens.session import cut_lineage
 
 END, RARE, FIRST = 0, 1, 2
 BLANK = 0x20
-LEXICON = 1 << 16
+LEXICON = 1 << 14
 LEXICON_BYTES = 64
 ESCAPES, HEAD = 1024, 3
-REACH = 12
+REACH = 24
 ANCHORS = 4096
 # Bits of the slot numbers in the table of each context.
 TOKEN_SLOTS = (17, 20, 20, 20)
 SPELL_SLOTS = (18, 19, 19, 19)
 TOKEN_CELLS, SPELL_CELLS = 512, 256
-STEP_TOKENS = 16_384
-STEP_BYTES = 16_384
+STEP_TOKENS = 4_096
+STEP_BYTES = 4_096
 WORD_BYTES = 1_000_000
 BATCH_BITS = 16_384
 RATE = 0.05
@@ -81,6 +81,25 @@ class Bits(NamedTuple):
     cell: np.ndarray  # row of the adaptive map
 
 
+def squash(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-x))
+
+
+def level(seen: np.ndarray) -> np.ndarray:
+    """How much a context has seen, in steps."""
+    return sum((seen > v).view(np.int8) for v in LEVELS)
+
+
+def gates(longer: np.ndarray, long: np.ndarray) -> np.ndarray:
+    return level(longer) * np.int64(len(LEVELS) + 1) + level(long)
+
+
+def places(mixed: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Places in the adaptive map."""
+    step = ((mixed + 8) * (MAP_STEPS / 16)).astype(np.int64)
+    return cell * MAP_STEPS + np.clip(step, 0, MAP_STEPS - 1)
+
+
 class Mixing:
     """Bit predictors, gated weights and adaptive map of one kind of bits."""
 
@@ -92,49 +111,61 @@ class Mixing:
         self.map = np.zeros((cells * MAP_STEPS, 2), np.float32)
         self.bits = 0
 
-    def slots(self, contexts: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Slots of the ``contexts`` (rows of hashes), each taken with the ``node`` of its bit."""
-        out = np.empty(contexts.shape, np.int64)
+    def slots(self, contexts: np.ndarray, which: np.ndarray, node: np.ndarray) -> np.ndarray:
+        """Slots of the bits at ``node`` in the contexts (rows of hashes) of their units ``which``."""
+        out = np.empty((len(contexts), len(which)), np.int64)
+        step = node.astype(np.uint64) * np.uint64(ODD[0])
         for k, bits in enumerate(self.slot_bits):
-            hashed = (contexts[k] + node) * np.uint64(ODD[0])
-            out[k] = (hashed >> np.uint64(64 - bits)).astype(np.int64) + self.starts[k]
+            place = np.take(contexts[k] * np.uint64(ODD[0]), which)
+            place += step
+            place >>= np.uint64(64 - bits)
+            np.add(place.view(np.int64), self.starts[k], out=out[k])
         return out
 
-    def mixed(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stretched predictions, gates, mixed prediction in the logistic domain)."""
-        seen = self.counts[slots]
-        x = np.log((seen[..., 1] + PRIOR) / (seen[..., 0] + PRIOR))
-        long, longer = seen[-1].sum(axis=1), seen[-2].sum(axis=1)
-        gate = sum((long > v).astype(np.int64) for v in LEVELS) * (len(LEVELS) + 1) + sum((longer > v) for v in LEVELS)
-        return x, gate, (self.weights[gate].T * x).sum(axis=0)
-
-    def refined(self, mixed: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(probability of a one, place in the map)."""
-        plain = 1 / (1 + np.exp(-np.clip(mixed.astype(float), -20, 20)))
-        place = cell * MAP_STEPS + np.clip((mixed + 8) * (MAP_STEPS / 16), 0, MAP_STEPS - 1).astype(np.int64)
-        seen = self.map[place].astype(float)
-        true = (seen[:, 1] + MAP_PRIOR * plain) / (seen.sum(axis=1) + MAP_PRIOR)
-        return np.clip((plain + true) / 2, 1e-7, 1 - 1e-7), place
+    def predictions(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(stretched predictions, gates) from the counts."""
+        seen = np.take(self.counts.view(np.float64).ravel(), slots).view(np.float32)
+        zeros, ones = seen[:, ::2], seen[:, 1::2]
+        return np.log((ones + PRIOR) / (zeros + PRIOR)), gates(zeros[-1] + ones[-1], zeros[-2] + ones[-2])
+
+    def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
+        """The weighted sum of the predictions, in the logistic domain."""
+        total = np.zeros(len(gate), np.float32)
+        for k in range(len(x)):
+            total += np.take(np.ascontiguousarray(self.weights[:, k]), gate) * x[k]
+        return np.clip(total, -16, 16, out=total)
+
+    def ready(self) -> Mixing:
+        """Tables that scoring reads, made from the counts."""
+        total = self.map.sum(axis=1) + MAP_PRIOR
+        self.came, self.rest = (self.map / total[:, None]).ravel(), (MAP_PRIOR / total).astype(np.float32)
+        self.stretched = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR))
+        self.level = level(self.counts.sum(axis=1))
+        return self
 
     def costs(self, bits: Bits) -> np.ndarray:
-        """log10 probability of each bit."""
-        _, _, mixed = self.mixed(bits.slots)
-        one, _ = self.refined(mixed, bits.cell)
-        return np.log10(np.where(bits.bit == 1, one, 1 - one))
+        """log10 probability of each bit; the model is ``ready``."""
+        x = np.take(self.stretched, bits.slots)
+        gate = np.take(self.level, bits.slots[-1]) * np.int64(len(LEVELS) + 1) + np.take(self.level, bits.slots[-2])
+        mixed = self.mixed(x, gate)
+        # The probability of the bit itself, not of a one: no digits are lost in a difference.
+        plain = squash(np.where(bits.bit == 1, mixed, -mixed))
+        place = places(mixed, bits.cell)
+        return np.log10((plain + np.take(self.came, place * 2 + bits.bit) + np.take(self.rest, place) * plain) / 2)
 
     def learn(self, bits: Bits, times: np.ndarray | None = None) -> None:
         """Predicts the bits from what was seen before them, moves weights and map, then counts each ``times`` (once)."""
         for first in range(0, len(bits.bit), BATCH_BITS):
             at = slice(first, first + BATCH_BITS)
             bit = bits.bit[at]
-            x, gate, mixed = self.mixed(bits.slots[:, at])
-            _, place = self.refined(mixed, bits.cell[at])
-            plain = 1 / (1 + np.exp(-np.clip(mixed, -20, 20)))
+            x, gate = self.predictions(bits.slots[:, at])
+            mixed = self.mixed(x, gate)
+            plain = squash(mixed)
             wrong, bend = bit - plain, plain * (1 - plain)
             for k in range(len(x)):
                 slope = np.bincount(gate, weights=wrong * x[k], minlength=GATES)
                 self.weights[:, k] += RATE * slope / (STEADY + np.bincount(gate, weights=bend * x[k] ** 2, minlength=GATES))
-            np.add.at(self.map.reshape(-1), place * 2 + bit, np.float32(1))
+            np.add.at(self.map.reshape(-1), places(mixed, bits.cell[at]) * 2 + bit, np.float32(1))
         flat = self.counts.reshape(-1)
         added = np.float32(1) if times is None else times.astype(np.float32)
         for each in bits.slots:
@@ -192,7 +223,7 @@ class Codes:
         before = np.cumsum(lengths) - lengths
         at = np.arange(len(token)) + (self.starts[ids] - before)[token]
         node = self.nodes[at]
-        slots = model.slots(contexts[:, token], node.astype(np.uint64))
+        slots = model.slots(contexts, token, node)
         return Bits(slots, self.turns[at], np.minimum(node, TOKEN_CELLS - 1)), token
 
 
@@ -309,7 +340,7 @@ def spelled_bits(model: Mixing, data: np.ndarray, contexts: np.ndarray) -> Bits:
     for k in range(1, 8):
         node[:, k] = node[:, k - 1] * 2 + bit[:, k - 1]
     node = node.ravel()
-    return Bits(model.slots(np.repeat(contexts, 8, axis=1), node.astype(np.uint64)), bit.ravel(), node)
+    return Bits(model.slots(contexts, np.repeat(np.arange(len(data)), 8), node), bit.ravel(), node)
 
 
 def learn_spelling(model: Mixing, words: pa.Array, times: np.ndarray) -> None:
@@ -426,7 +457,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     shared_models = spark.sparkContext.broadcast((tokens_model, spelling_model))
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, model = shared_models.value
+        model = shared_models.value[1].ready()
         for batch in batches:
             for part in slices_by(batch, pc.binary_length(batch.column("word")).to_numpy(zero_copy_only=False), WORD_BYTES):
                 costs = spelling_costs(model, part.column("word").cast(pa.large_utf8()), shared_lexicon.value.heads)
@@ -442,7 +473,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared_lexicon.value
-        model, _ = shared_models.value
+        model = shared_models.value[0].ready()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = texts_of(part, "text")

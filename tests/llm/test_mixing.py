@@ -1,4 +1,4 @@
-"""LM scoring: base scores by brute force, held-out quality, probabilities that add up, edge cases."""
+"""LM scoring: base scores by brute force, a plain scorer bit by bit, probabilities that add up, edge cases."""
 
 import math
 import re
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from bazaarlens.llm import mixing as m
 from bazaarlens.llm.queries import op6_lm_scoring
-from bazaarlens.llm.words import lowered, texts_of
+from bazaarlens.llm.words import lowered, split_words, texts_of
 from conftest import DATA
 
 
@@ -19,6 +19,45 @@ def tokens(text):
     return re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda x: x[0].lower(), text or "")) + [None]
 
 
+def texts(*values):
+    return pa.array(values, pa.large_utf8())
+
+
+def trained(folder_texts, most=60):
+    """Lexicon and both models, learned without Spark from some texts."""
+    words = split_words(lowered(folder_texts))
+    counts = np.bincount(words.codes, minlength=len(words.distinct))
+    order = np.argsort(-counts, kind="stable")
+    listed, others = order[:most], order[most:]
+    heads = np.unique(m.heads_of(words.distinct.take(pa.array(others))))
+    heads = heads[heads >= 0][:50]
+    codes = m.Codes([len(folder_texts), int(counts[others].sum()), *counts[listed].tolist(), *[1] * len(heads)])
+    lexicon = m.Lexicon(words.distinct.take(pa.array(listed)), heads, codes)
+    model, spelling = m.Mixing(m.TOKEN_SLOTS, m.TOKEN_CELLS), m.Mixing(m.SPELL_SLOTS, m.SPELL_CELLS)
+    m.learn_tokens(model, codes, m.tokens_of(words, lexicon))
+    m.learn_spelling(spelling, words.distinct.take(pa.array(others)), counts[others])
+    return lexicon, model.ready(), spelling.ready()
+
+
+def corpus():
+    rng = np.random.default_rng(3)
+    kinds = [["the", "of", "and", "houses", "riverbank"], ["la", "de", "el", "casas", "ribera"]]
+    return texts(*[" ".join(rng.choice([*kinds[i % 2], f"word{i % 7}x", f"{i % 11}"], 60)) for i in range(60)])
+
+
+def one_bit(model, slots, cell, bit):
+    """Probability of ``bit``, with plain numbers."""
+    seen = [(float(model.counts[s][0]), float(model.counts[s][1])) for s in slots]
+    x = [math.log((b + 0.4) / (a + 0.4)) for a, b in seen]
+    levels = [sum(sum(pair) > v for v in m.LEVELS) for pair in seen]
+    weights = model.weights[levels[-1] * 5 + levels[-2]]
+    mixed = min(16, max(-16, sum(float(w) * v for w, v in zip(weights, x))))
+    plain = 1 / (1 + math.exp(-mixed))
+    zeros, ones = model.map[cell * m.MAP_STEPS + min(m.MAP_STEPS - 1, max(0, int((mixed + 8) * 2)))]
+    one = (plain + (float(ones) + 30 * plain) / (float(zeros) + float(ones) + 30)) / 2
+    return one if bit else 1 - one
+
+
 def test_scores(spark):
     folder = f"{DATA}/sf0.001"
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
@@ -36,60 +75,96 @@ def test_scores(spark):
 
 
 def test_lower_case_of_slices():
-    texts = pa.record_batch({"text": pa.array(["First É One", None, "seCond \u00d7 B", ""])})
-    assert [lowered(texts_of(texts.slice(i, 1), "text")).to_pylist()[0] for i in range(4)] == ["first É one", "", "second \u00d7 b", ""]
-
-
-def test_next_byte_adds_up():
-    rng = np.random.default_rng(1)
-    counts = rng.integers(0, 50, (2, m.STARTS[-1])).astype(np.float32)
-    mixer = m.fit(counts, pa.array(["the", "thing", "and"] * 50, pa.large_utf8()), np.arange(150) % 3)
-    for start in (b"", b"th", b"long word"):
-        data = np.frombuffer(b"".join(start + bytes([b]) for b in range(256)), np.uint8)
-        bits = m.bits_of(data, np.arange(257) * (len(start) + 1), np.full(256, 2))
-        x, gate = m._inputs(counts, bits, slice(None), 0)
-        mixed = (mixer.weights[gate].T * x).sum(axis=0)
-        p = (m.squash(mixed) + mixer.map[bits.node, m._map_at(bits.node, mixed)]) / 2
-        p = np.where(bits.bit == 1, p, 1 - p).reshape(256, -1)[:, -8:]
-        assert math.isclose(p.prod(axis=1).sum(), 1, rel_tol=1e-9)
-
-
-def test_costs_do_not_depend_on_the_step():
-    words = pa.array(["a", "bee" * 70_000, "see", "a"], pa.large_utf8())
-    mixer = m.Mixer(np.ones((2, m.STARTS[-1]), np.float32), np.full((m.GATES, len(m.SLOTS)), 0.3), np.full((256, m.MAP_STEPS), 0.5))
-    costs = m.token_costs(mixer, words, 1)
-    assert costs.shape == (5, m.CLASSES) and (costs[0] == costs[3]).all()
-    assert np.allclose(costs[2], m.token_costs(mixer, pa.array(["see"], pa.large_utf8()))[0])
+    batch = pa.record_batch({"text": pa.array(["First É One", None, "seCond × B", ""])})
+    assert [lowered(texts_of(batch.slice(i, 1), "text")).to_pylist()[0] for i in range(4)] == ["first É one", "", "second × b", ""]
+
+
+def test_costs_equal_a_plain_scorer():
+    lexicon, model, spelling = trained(corpus(), most=8)
+    listed = {w: i + m.FIRST for i, w in enumerate(lexicon.words.to_pylist())}
+    heads = lexicon.heads.tolist()
+
+    def symbol(word):
+        if word is None:
+            return m.END
+        if word in listed:
+            return listed[word]
+        data = word.encode()
+        head = int.from_bytes(data[:3], "big") if len(data) >= 3 else -1
+        return m.FIRST + len(listed) + heads.index(head) if head in heads else m.RARE
+
+    some = texts("the of riverbank Unseen", "", "la casas word3x 5 5 the", "zz " * 30 + "été", *corpus().to_pylist()[:16])
+    found = split_words(lowered(some))
+    got = m.token_costs(model, lexicon.codes, m.tokens_of(found, lexicon))
+    expected = []
+    for text in some.to_pylist():
+        ids = [symbol(t) for t in tokens(text)]
+        for i, own in enumerate(ids):
+            before = ids[max(0, i - m.REACH) : i]
+            anchor = min([x for x in before if m.FIRST <= x < m.FIRST + len(listed)], default=m.ANCHORS - 1)
+            keys = np.array([[ids[i - 1] if i else m.END], [ids[i - 2] if i > 1 else m.END], [anchor]])
+            bits, _ = lexicon.codes.bits(model, m.token_contexts(keys), np.array([own]))
+            expected.append(sum(math.log10(one_bit(model, bits.slots[:, k], bits.cell[k], bits.bit[k])) for k in range(len(bits.bit))))
+    assert np.allclose(got, expected, atol=1e-4)
+
+    words = found.distinct
+    got = m.spelling_costs(spelling, words, lexicon.heads)
+    for word, cost in zip(words.to_pylist(), got):
+        data, _, contexts = m.spelled(texts(word))
+        assert bytes(data) == word.encode() + b" "
+        bits = m.spelled_bits(spelling, data, contexts)
+        first = 3 * 8 if symbol(word) >= m.FIRST + len(listed) or (len(word.encode()) >= 3 and int.from_bytes(word.encode()[:3], "big") in heads) else 0
+        plain = sum(math.log10(one_bit(spelling, bits.slots[:, k], bits.cell[k], bits.bit[k])) for k in range(first, len(bits.bit)))
+        assert math.isclose(cost, plain, abs_tol=1e-4)
+
+
+def test_next_symbols_and_bytes_add_up():
+    lexicon, model, spelling = trained(corpus(), most=8)
+    n = len(lexicon.codes.lengths)
+    for key in ([m.END, m.END, m.ANCHORS - 1], [3, 2, 2], [m.RARE, 5, 4]):
+        bits, token = lexicon.codes.bits(model, m.token_contexts(np.repeat(np.array(key)[:, None], n, axis=1)), np.arange(n))
+        assert math.isclose((10 ** np.bincount(token, weights=model.costs(bits))).sum(), 1, rel_tol=1e-4)
+    _, _, contexts = m.spelled(texts("river"))
+    bits = m.spelled_bits(spelling, np.arange(256, dtype=np.uint8), np.repeat(contexts[:, 4:5], 256, axis=1))
+    assert math.isclose((10 ** spelling.costs(bits).reshape(-1, 8).sum(axis=1)).sum(), 1, rel_tol=1e-4)
+
+
+def test_context_across_tokens_helps():
+    lexicon, model, _ = trained(corpus(), most=12)
+    found = split_words(texts("the houses of the houses", "la de la la houses"))
+    costs = m.token_costs(model, lexicon.codes, m.tokens_of(found, lexicon))
+    assert costs[4] > costs[10] + 0.5
+
+
+def test_states_add_up():
+    whole, halves = m.Mixing(m.SPELL_SLOTS, m.SPELL_CELLS), [m.Mixing(m.SPELL_SLOTS, m.SPELL_CELLS) for _ in range(2)]
+    words = texts("alpha", "beta", "gamma")
+    m.learn_spelling(whole, words, np.array([2, 1, 3]))
+    for model, part, times in zip(halves, (words[:1], words[1:]), ([2], [1, 3])):
+        m.learn_spelling(model, part.take(pa.array(range(len(part)))), np.array(times))
+    summed = m.Mixing(m.SPELL_SLOTS, m.SPELL_CELLS).restored(halves[0].state() + halves[1].state())
+    assert (summed.counts == whole.counts).all() and summed.map.sum() == whole.map.sum()
+    assert summed.bits == whole.bits and np.isfinite(summed.weights).all()
+
+
+def test_long_words_in_steps():
+    _, _, spelling = trained(corpus())
+    long = "bee" * 9000
+    assert math.isclose(m.spelling_costs(spelling, texts("a", long, "see"), np.zeros(0))[1], m.spelling_costs(spelling, texts(long), np.zeros(0))[0], rel_tol=1e-6)
 
 
 def test_edges(spark):
     rows = [(1, "A b\ta"), (2, None), (3, ""), (3, ""), (None, "b c"), (5, "x " * 5000 + "été")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("block", F.lit(1)).withColumn("word", F.lit("w"))
-    got = {(r["doc_id"], r["n_tokens"]): r for r in m.score_documents(df, F.lit(False)).collect()}
-    assert set(got) == {(1, 4), (2, 1), (3, 1), (None, 3), (5, 5002)}
-    assert all(r["n_known"] == r["n_tokens"] and math.isfinite(r["score"]) for r in got.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("word", F.lit("w"))
+    got = [tuple(r)[:6] for r in m.score_documents(df, F.lit(False)).collect()]
+    assert sorted((r[0] or 0, r[2]) for r in got) == [(0, 3), (1, 4), (2, 1), (3, 1), (3, 1), (5, 5002)]
+    assert all(r[3] == r[2] and math.isfinite(r[5]) for r in got)
     assert m.score_documents(df.limit(0), F.lit(False)).count() == 0
     none = m.score_documents(df, F.lit(True)).collect()
     assert {(r["n_known"], r["train_tokens"]) for r in none} == {(0, 0)} and len(none) == 6
 
 
 def test_costs_are_finite_at_large_counts():
-    counts = np.zeros((2, m.STARTS[-1]), np.float32)
-    counts[1] = 3e12
-    mixer = m.Mixer(counts, np.full((m.GATES, len(m.SLOTS)), 0.3), np.full((256, m.MAP_STEPS), 0.5))
-    assert np.isfinite(m.token_costs(mixer, pa.array(["see", "été"], pa.large_utf8()), 1)).all()
-
-
-def test_costs_agree_with_single_bits():
-    rng = np.random.default_rng(2)
-    counts = rng.integers(0, 50, (2, m.STARTS[-1])).astype(np.float32)
-    words = pa.array(["the", "thing", "long-word", "été"], pa.large_utf8())
-    mixer = m.fit(counts, words, np.arange(4) % m.CLASSES)
-    costs = m.token_costs(mixer, words, 1)
-    for k in range(m.CLASSES):
-        bits = m.bits_of(*m.coded(words, 1), np.full(5, k))
-        x, gate = m._inputs(counts, bits, slice(None), 0)
-        mixed = (mixer.weights[gate].T * x).sum(axis=0)
-        p = (m.squash(mixed) + mixer.map[bits.node, m._map_at(bits.node, mixed)]) / 2
-        p = np.clip(np.where(bits.bit == 1, p, 1 - p), 1e-9, 1)
-        assert np.allclose(costs[:, k], np.bincount(bits.token, weights=np.log10(p)))
+    model = m.Mixing(m.SPELL_SLOTS, m.SPELL_CELLS)
+    model.counts[:, 1] = 3e12
+    assert np.isfinite(m.spelling_costs(model.ready(), texts("see", "été"), np.zeros(0))).all()
