@@ -279,15 +279,40 @@ def tokens_of(words: Words, lexicon: Lexicon) -> Tokens:
     offsets = words.offsets + np.arange(len(words.offsets))
     place = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
     before = np.full((2, len(ids)), END)
-    anchor = np.full(len(ids), ANCHORS - 1)
-    spelled_from = FIRST + len(lexicon.words)
-    for k in range(1, REACH + 1):
+    for k in (1, 2):
         inside = np.flatnonzero(place >= k)
-        back = ids[inside - k]
-        if k <= 2:
-            before[k - 1, inside] = back
-        anchor[inside] = np.minimum(anchor[inside], np.where((back >= FIRST) & (back < spelled_from), back, ANCHORS - 1))
-    return Tokens(ids, offsets, np.stack([*before, anchor]))
+        before[k - 1, inside] = ids[inside - k]
+    in_lexicon = (ids >= FIRST) & (ids < FIRST + len(lexicon.words))
+    lowest = np.where(in_lexicon, np.minimum(ids, ANCHORS - 1), ANCHORS - 1)
+    return Tokens(ids, offsets, np.stack([*before, lowest_before(lowest, place, REACH)]))
+
+
+def lowest_before(values: np.ndarray, place: np.ndarray, reach: int) -> np.ndarray:
+    """The least of the ``reach`` values before each one in its text, ``ANCHORS - 1`` where there are none.
+
+    Windows are put together from windows of half their length."""
+
+    def back(window: np.ndarray, by: int) -> np.ndarray:
+        out = np.full(len(window), ANCHORS - 1)
+        out[by:] = np.where(place[by:] >= by, window[:-by], ANCHORS - 1)
+        return out
+
+    window, width, out, done = back(values, 1), 1, np.full(len(values), ANCHORS - 1), 0
+    while True:
+        if reach & width:
+            out = np.minimum(out, back(window, done) if done else window)
+            done += width
+        if done == reach:
+            return out
+        window, width = np.minimum(window, back(window, width)), width * 2
+
+
+def distinct_tokens(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first places of different tokens in different contexts; which of them each token is; how often each occurs)."""
+    one, two, anchor = tokens.keys
+    packed = ((anchor << 17 | one) << 17 | two) << 17 | tokens.ids
+    _, chosen, back, times = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
+    return chosen, back, times
 
 
 def token_contexts(keys: np.ndarray) -> np.ndarray:
@@ -296,16 +321,19 @@ def token_contexts(keys: np.ndarray) -> np.ndarray:
 
 
 def learn_tokens(model: Mixing, codes: Codes, tokens: Tokens) -> None:
-    for first in range(0, len(tokens.ids), STEP_TOKENS):
-        at = slice(first, first + STEP_TOKENS)
-        model.learn(codes.bits(model, token_contexts(tokens.keys[:, at]), tokens.ids[at])[0])
+    """Equal tokens in equal contexts are predicted once, where they come first, and counted as often as they occur."""
+    chosen, _, times = distinct_tokens(tokens)
+    order = np.argsort(chosen)
+    chosen, times = chosen[order], times[order]
+    for first in range(0, len(chosen), STEP_TOKENS):
+        some = chosen[first : first + STEP_TOKENS]
+        bits, token = codes.bits(model, token_contexts(tokens.keys[:, some]), tokens.ids[some])
+        model.learn(bits, times[first : first + STEP_TOKENS][token])
 
 
 def token_costs(model: Mixing, codes: Codes, tokens: Tokens) -> np.ndarray:
     """log10 probability of each token. Equal tokens in equal contexts are looked up once."""
-    one, two, anchor = tokens.keys
-    packed = ((anchor << 17 | one) << 17 | two) << 17 | tokens.ids
-    _, chosen, back = np.unique(packed, return_index=True, return_inverse=True)
+    chosen, back, _ = distinct_tokens(tokens)
     out = np.zeros(len(chosen))
     for first in range(0, len(chosen), STEP_TOKENS):
         some = chosen[first : first + STEP_TOKENS]

@@ -168,3 +168,11 @@ def test_costs_are_finite_at_large_counts():
     model = m.Mixing(m.SPELL_SLOTS, m.SPELL_CELLS)
     model.counts[:, 1] = 3e12
     assert np.isfinite(m.spelling_costs(model.ready(), texts("see", "été"), np.zeros(0))).all()
+
+
+def test_lowest_before():
+    rng = np.random.default_rng(4)
+    values, place = rng.integers(2, 4000, 300), np.concatenate([np.arange(n) for n in (1, 120, 2, 177)])
+    for reach in (1, 5, 16, 24):
+        plain = [min([values[i - k] for k in range(1, reach + 1) if place[i] >= k], default=m.ANCHORS - 1) for i in range(300)]
+        assert m.lowest_before(values, place, reach).tolist() == plain
