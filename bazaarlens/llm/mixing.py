@@ -9,8 +9,8 @@ over bits, and the probabilities of what can follow add up to one at most (a lex
 could be spelled too).
 
 Each bit of a code is predicted from hashed contexts that reach across tokens: the place
-in the tree alone, with the word before, with the two words before, and with the anchor
-(the most frequent of the ``REACH`` words before, which tells the kind of text). Each bit
+in the tree alone, with the word before, and with the anchor (the most frequent of the
+``REACH`` words before, which tells the kind of text). Each bit
 of a spelled byte is predicted from the last 2 to 5 bytes of its word. A context predicts by the zeros and ones that it has seen. Predictions are mixed in the
 logistic domain with weights that a gate selects (what two long contexts have seen), and
 an adaptive map from (place, mixed prediction) to what came true refines the result.
@@ -54,7 +54,7 @@ ESCAPES, HEAD = 1024, 3
 REACH = 24
 ANCHORS = 4096
 # Bits of the slot numbers in the table of each context.
-TOKEN_SLOTS = (17, 20, 20, 20)
+TOKEN_SLOTS = (17, 20, 20)
 SPELL_SLOTS = (18, 19, 19, 19)
 TOKEN_CELLS, SPELL_CELLS = 512, 256
 STEP_TOKENS = 4_096
@@ -267,7 +267,7 @@ def escapes_of(words: pa.Array, heads: np.ndarray) -> np.ndarray:
 class Tokens(NamedTuple):
     ids: np.ndarray  # of all tokens, ends included
     offsets: np.ndarray  # text i has ids[offsets[i]:offsets[i + 1]]
-    keys: np.ndarray  # (word before, word two before, anchor) of each token
+    keys: np.ndarray  # (word before, anchor) of each token
 
 
 def tokens_of(words: Words, lexicon: Lexicon) -> Tokens:
@@ -278,13 +278,12 @@ def tokens_of(words: Words, lexicon: Lexicon) -> Tokens:
     ids = np.insert(known[words.codes], words.offsets[1:], END)
     offsets = words.offsets + np.arange(len(words.offsets))
     place = np.arange(len(ids)) - np.repeat(offsets[:-1], np.diff(offsets))
-    before = np.full((2, len(ids)), END)
-    for k in (1, 2):
-        inside = np.flatnonzero(place >= k)
-        before[k - 1, inside] = ids[inside - k]
+    before = np.full(len(ids), END)
+    inside = np.flatnonzero(place >= 1)
+    before[inside] = ids[inside - 1]
     in_lexicon = (ids >= FIRST) & (ids < FIRST + len(lexicon.words))
     lowest = np.where(in_lexicon, np.minimum(ids, ANCHORS - 1), ANCHORS - 1)
-    return Tokens(ids, offsets, np.stack([*before, lowest_before(lowest, place, REACH)]))
+    return Tokens(ids, offsets, np.stack([before, lowest_before(lowest, place, REACH)]))
 
 
 def lowest_before(values: np.ndarray, place: np.ndarray, reach: int) -> np.ndarray:
@@ -309,15 +308,15 @@ def lowest_before(values: np.ndarray, place: np.ndarray, reach: int) -> np.ndarr
 
 def distinct_tokens(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first places of different tokens in different contexts; which of them each token is; how often each occurs)."""
-    one, two, anchor = tokens.keys
-    packed = ((anchor << 17 | one) << 17 | two) << 17 | tokens.ids
+    one, anchor = tokens.keys
+    packed = (anchor << 17 | one) << 17 | tokens.ids
     _, chosen, back, times = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
     return chosen, back, times
 
 
 def token_contexts(keys: np.ndarray) -> np.ndarray:
-    one, two, anchor = keys
-    return np.stack([np.zeros(len(one), np.uint64), hashed(anchor), hashed(one, two), hashed(one)])
+    one, anchor = keys
+    return np.stack([np.zeros(len(one), np.uint64), hashed(anchor), hashed(one)])
 
 
 def learn_tokens(model: Mixing, codes: Codes, tokens: Tokens) -> None:

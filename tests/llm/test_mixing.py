@@ -102,7 +102,7 @@ def test_costs_equal_a_plain_scorer():
         for i, own in enumerate(ids):
             before = ids[max(0, i - m.REACH) : i]
             anchor = min([x for x in before if m.FIRST <= x < m.FIRST + len(listed)], default=m.ANCHORS - 1)
-            keys = np.array([[ids[i - 1] if i else m.END], [ids[i - 2] if i > 1 else m.END], [anchor]])
+            keys = np.array([[ids[i - 1] if i else m.END], [anchor]])
             bits, _ = lexicon.codes.bits(model, m.token_contexts(keys), np.array([own]))
             expected.append(sum(math.log10(one_bit(model, bits.slots[:, k], bits.cell[k], bits.bit[k])) for k in range(len(bits.bit))))
     assert np.allclose(got, expected, atol=1e-4)
@@ -121,7 +121,7 @@ def test_costs_equal_a_plain_scorer():
 def test_next_symbols_and_bytes_add_up():
     lexicon, model, spelling = trained(corpus(), most=8)
     n = len(lexicon.codes.lengths)
-    for key in ([m.END, m.END, m.ANCHORS - 1], [3, 2, 2], [m.RARE, 5, 4]):
+    for key in ([m.END, m.ANCHORS - 1], [3, 2], [m.RARE, 4]):
         bits, token = lexicon.codes.bits(model, m.token_contexts(np.repeat(np.array(key)[:, None], n, axis=1)), np.arange(n))
         assert math.isclose((10 ** np.bincount(token, weights=model.costs(bits))).sum(), 1, rel_tol=1e-4)
     _, _, contexts = m.spelled(texts("river"))
