@@ -10,10 +10,11 @@ could be spelled too).
 
 Each bit of a code is predicted from hashed contexts that reach across tokens: the place
 in the tree alone, with the word before, and with the anchor (the most frequent of the
-``REACH`` words before, which tells the kind of text). Each bit
-of a spelled byte is predicted from the last 2 to 5 bytes of its word. A context predicts by the zeros and ones that it has seen. Predictions are mixed in the
-logistic domain with weights that a gate selects (what two long contexts have seen), and
-an adaptive map from (place, mixed prediction) to what came true refines the result.
+``REACH`` words before, which tells the kind of text). Each bit of a spelled byte is
+predicted from the last 2 to 5 bytes of its word. A context predicts by the zeros and ones
+that it has seen. Predictions are mixed in the logistic domain with weights that a gate
+selects (what two long contexts have seen), and an adaptive map from (place, mixed
+prediction) to what came true refines the result.
 
 Learning is one pass over all training tokens. A task takes its texts step by step: it
 predicts a step from what it has seen so far, moves the weights and the map by the errors,
