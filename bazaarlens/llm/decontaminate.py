@@ -34,8 +34,10 @@ KINDS = ("name", "number", "unit")
 # Sign before a kind, so that no word of a text looks like a placeholder (control characters are separators there).
 SIGN = "\u0001"
 # A name: capitalised words after a lower-case letter, digit or comma and one space, so not at a sentence start.
-NAME = r"([\p{Ll}0-9,] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*)"
-NUMBER = r"([0-9]+(?:[.,:/][0-9]+)*)"
+# Repeated groups are possessive: nothing follows that could need a shorter match, and Java matches them in a loop,
+# where other ones take a stack frame for each word of a long list of names or numbers.
+NAME = r"([\p{Ll}0-9,] )(\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)*+)"
+NUMBER = r"([0-9]+(?:[.,:/][0-9]+)*+)"
 # Units of measure and money.
 UNITS = (
     "mm", "cm", "km", "kg", "mg", "ml", "kw", "mph", "kmh", "gb", "mb", "ms", "meters", "metres", "miles", "feet",

@@ -31,6 +31,13 @@ def test_template(spark):
     ]
 
 
+def test_long_lists_of_names_and_numbers(spark):
+    """Each is one match, however long: a match that takes stack for each part ends the executor."""
+    texts = ["seen by " + " ".join(["Anna"] * 50_000) + " today", "seen 1" + ",12" * 50_000 + " times"]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select(d.template_words(F.col("text")).alias("w")).collect()
+    assert [[w.lstrip(d.SIGN) for w in r["w"]] for r in rows] == [["seen", "by", "name", "today"], ["seen", "number", "times"]]
+
+
 def test_slots_decide(spark):
     filler = "words without any sense that go on and on for a while. "
     rows = [(1, filler + ITEM), (2, filler * 3 + SAME + " " + filler), (3, MIXED), (4, filler * 9), (5, None), (6, ""), (None, ITEM), (1, filler + ITEM)]
