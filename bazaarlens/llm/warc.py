@@ -18,6 +18,7 @@ verified, and so is a record whose payload is not there; a file that is cut off
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 import uuid
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bazaarlens.llm.tables import small_enough
 from bazaarlens.session import shared_folder
 
 CRLF = "\r\n"
@@ -34,6 +36,8 @@ BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 CONV32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 # Bytes of records that a task hands on at once, or one record.
 BATCH_BYTES = 8_000_000
+# Up to so many repeated responses are named to every task; beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -120,14 +124,14 @@ def parse_warc(data: bytes) -> Iterator[tuple[bytes, bytes]]:
 
 
 def read_warc(spark: SparkSession, folder: str, bodies: bool = True) -> DataFrame:
-    """header and body (null without ``bodies``) of every record of the WARC files in ``folder``."""
+    """header, body (null without ``bodies``), its SHA-256, file and place in the file of every record of the WARC files in ``folder``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
+            for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
                 rows, held = [], 0
-                for header, body in parse_warc(content.as_buffer().to_pybytes()):
-                    rows.append((header, body if bodies else None))
+                for at, (header, body) in enumerate(parse_warc(content.as_buffer().to_pybytes())):
+                    rows.append((header, body if bodies else None, hashlib.sha256(body).hexdigest(), file, at))
                     held += len(header) + (len(body) if bodies else 0)
                     if held >= BATCH_BYTES:
                         yield _batch(rows)
@@ -135,12 +139,13 @@ def read_warc(spark: SparkSession, folder: str, bodies: bool = True) -> DataFram
                 yield _batch(rows)
 
     # A task reads one file's bytes at a time.
-    files = spark.read.format("binaryFile").load(folder).select("content")
-    return files.mapInArrow(run, "header binary, body binary")
+    files = spark.read.format("binaryFile").load(folder).select("path", "content")
+    return files.mapInArrow(run, "header binary, body binary, sha256 string, file string, at long")
 
 
-def _batch(rows: list[tuple[bytes, bytes | None]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)], ["header", "body"])
+def _batch(rows: list[tuple[bytes, bytes | None, str, str, int]]) -> pa.RecordBatch:
+    kinds = {"header": pa.binary(), "body": pa.binary(), "sha256": pa.string(), "file": pa.string(), "at": pa.int64()}
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds.values())], list(kinds))
 
 
 def header_field(header: Column, name: str) -> Column:
@@ -149,15 +154,32 @@ def header_field(header: Column, name: str) -> Column:
 
 def archive_warc(spark: SparkSession, warc: str, folder: str) -> None:
     """Writes ``headers`` and ``payloads`` of the WARC files in ``warc`` into ``folder``; each payload once."""
-    headers = read_warc(spark, warc, bodies=False).select(header_field(F.col("header"), "X-Payload-SHA256").alias("digest"), "header")
-    headers.write.parquet(f"{folder}/headers")
-    bodies = read_warc(spark, warc).where(header_field(F.col("header"), "WARC-Type") == "response")
-    (
-        bodies.select(F.sha2("body", 256).alias("digest"), F.col("body").alias("payload"))
-        .groupBy("digest")
-        .agg(F.first("payload").alias("payload"))
-        .write.parquet(f"{folder}/payloads")
+    read = read_warc(spark, warc, bodies=False)
+    response = header_field(F.col("header"), "WARC-Type") == "response"
+    headers = read.select(
+        header_field(F.col("header"), "X-Payload-SHA256").alias("digest"),
+        "header",
+        F.when(response, F.col("sha256")).alias("sha256"),
+        "file",
+        "at",
     )
+    headers.write.option("compression", "zstd").parquet(f"{folder}/headers")
+    places = spark.read.schema("sha256 string, file string, at long").parquet(f"{folder}/headers").where("sha256 is not null")
+    payloads_once(read_warc(spark, warc), places).write.option("compression", "zstd").parquet(f"{folder}/payloads")
+
+
+def payloads_once(records: DataFrame, places: DataFrame) -> DataFrame:
+    """digest and payload of the first response of each payload; ``places`` has sha256, file and at of all responses.
+
+    Which responses repeat an earlier one is found by digests alone. Mostly few do: then no payload is shuffled.
+    """
+    place = F.struct("file", "at")
+    repeated = places.groupBy("sha256").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    spare = places.join(repeated, "sha256").where(place != F.col("first")).select("file", "at")
+    if small_enough(spare, BROADCAST_ROWS):
+        spare = F.broadcast(spare)
+    responses = records.where(header_field(F.col("header"), "WARC-Type") == "response")
+    return responses.join(spare, ["file", "at"], "left_anti").select(F.col("sha256").alias("digest"), F.col("body").alias("payload"))
 
 
 def write_archive(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> str:

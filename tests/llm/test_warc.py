@@ -46,6 +46,21 @@ def test_round_trip(spark, tmp_path, min_bytes):
     assert spark.read.parquet(f"{folder}/payloads").count() == len({h or "" for _, _, h in PAGES})
 
 
+def test_payloads_stay_where_they_are(spark, tmp_path, capsys, monkeypatch):
+    """Payloads are stored once without a shuffle of them; the same ones with many repeated responses."""
+    warc.write_warc(pages(spark).repartition(4), str(tmp_path / "w"), 100)
+    records = warc.read_warc(spark, str(tmp_path / "w"))
+    places = records.where(warc.header_field(F.col("header"), "WARC-Type") == "response").select("sha256", "file", "at")
+    once = warc.payloads_once(records, places)
+    once.explain()
+    above = capsys.readouterr().out.split("BroadcastExchange")[0]
+    assert "LeftAnti" in above and "Exchange" not in above
+    expected = sorted((hashlib.sha256((h or "").encode()).hexdigest(), (h or "").encode()) for h in {h or "" for _, _, h in PAGES})
+    assert sorted((r["digest"], bytes(r["payload"])) for r in once.collect()) == expected
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", 0)
+    assert sorted((r["digest"], bytes(r["payload"])) for r in warc.payloads_once(records, places).collect()) == expected
+
+
 def test_files_are_warc(spark, tmp_path):
     warc.write_warc(pages(spark), str(tmp_path / "w"))
     whole = [gzip.decompress(f.read_bytes()) for f in sorted(Path(tmp_path / "w").glob("part-*"))]
