@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -54,6 +54,8 @@ LEXICON_BYTES = 64
 ESCAPES, HEAD = 1024, 3
 REACH = 24
 ANCHORS = 4096
+# Bits of the number of a symbol: the end, the plain escape, words and escapes.
+ID_BITS = (FIRST + LEXICON + ESCAPES - 1).bit_length()
 # Bits of the slot numbers in the table of each context.
 TOKEN_SLOTS = (17, 20, 20)
 SPELL_SLOTS = (18, 19, 19, 19)
@@ -61,6 +63,8 @@ TOKEN_CELLS, SPELL_CELLS = 512, 256
 STEP_TOKENS = 4_096
 STEP_BYTES = 4_096
 WORD_BYTES = 1_000_000
+# Texts of a slice are split into words in parts of so many bytes: what splitting needs is a multiple of its text.
+PIECE_BYTES = 500_000
 BATCH_BITS = 16_384
 RATE = 0.05
 STEADY = 10.0
@@ -112,14 +116,17 @@ class Mixing:
         self.map = np.zeros((cells * MAP_STEPS, 2), np.float32)
         self.bits = 0
 
-    def slots(self, contexts: np.ndarray, which: np.ndarray, node: np.ndarray) -> np.ndarray:
-        """Slots of the bits at ``node`` in the contexts (rows of hashes) of their units ``which``."""
-        out = np.empty((len(contexts), len(which)), np.int64)
+    def slots(self, contexts: Sequence[np.ndarray | None], times: np.ndarray | int, node: np.ndarray) -> np.ndarray:
+        """Slots of the bits at ``node`` in the contexts (hashes, or None: the node alone) of their units, each for ``times`` bits."""
+        out = np.empty((len(contexts), len(node)), np.int64)
         step = node.astype(np.uint64) * np.uint64(ODD[0])
         for k, bits in enumerate(self.slot_bits):
-            place = np.take(contexts[k] * np.uint64(ODD[0]), which)
-            place += step
-            place >>= np.uint64(64 - bits)
+            if contexts[k] is None:
+                place = step >> np.uint64(64 - bits)
+            else:
+                place = np.repeat(contexts[k] * np.uint64(ODD[0]), times)
+                place += step
+                place >>= np.uint64(64 - bits)
             np.add(place.view(np.int64), self.starts[k], out=out[k])
         return out
 
@@ -152,7 +159,7 @@ class Mixing:
         # The probability of the bit itself, not of a one: no digits are lost in a difference.
         plain = squash(np.where(bits.bit == 1, mixed, -mixed))
         place = places(mixed, bits.cell)
-        return np.log10((plain + np.take(self.came, place * 2 + bits.bit) + np.take(self.rest, place) * plain) / 2)
+        return np.log((plain + np.take(self.came, place * 2 + bits.bit) + np.take(self.rest, place) * plain) / 2) * np.float32(math.log10(math.e))
 
     def learn(self, bits: Bits, times: np.ndarray | None = None) -> None:
         """Predicts the bits from what was seen before them, moves weights and map, then counts each ``times`` (once)."""
@@ -175,8 +182,9 @@ class Mixing:
 
     def state(self) -> np.ndarray:
         """What adds up over tasks, as one vector: counts, map, weights times bits, bits (in units of ``SHARE``)."""
-        share = self.bits / SHARE
-        return np.concatenate([self.counts.ravel(), self.map.ravel(), self.weights.ravel() * share, [share]]).astype(np.float32)
+        share = np.array([self.bits / SHARE])
+        own = (self.weights.ravel() * share).astype(np.float32)
+        return np.concatenate([self.counts.ravel(), self.map.ravel(), own, share.astype(np.float32)])
 
     def restored(self, state: np.ndarray) -> Mixing:
         """This model with the added-up ``state``; unchanged where no task saw a bit."""
@@ -217,15 +225,16 @@ class Codes:
         self.nodes = np.array([n for nodes, _ in paths for n in nodes], np.int64)
         self.turns = np.array([t for _, turns in paths for t in turns], np.int64)
 
-    def bits(self, model: Mixing, contexts: np.ndarray, ids: np.ndarray) -> tuple[Bits, np.ndarray]:
+    def bits(self, model: Mixing, contexts: Sequence[np.ndarray | None], ids: np.ndarray) -> tuple[Bits, np.ndarray]:
         """(bits of the codes of ``ids`` in their ``contexts``, the token of each bit)."""
         lengths = self.lengths[ids]
         token = np.repeat(np.arange(len(ids)), lengths)
         before = np.cumsum(lengths) - lengths
-        at = np.arange(len(token)) + (self.starts[ids] - before)[token]
-        node = self.nodes[at]
-        slots = model.slots(contexts, token, node)
-        return Bits(slots, self.turns[at], np.minimum(node, TOKEN_CELLS - 1)), token
+        at = np.repeat(self.starts[ids] - before, lengths)
+        at += np.arange(len(token))
+        node = np.take(self.nodes, at)
+        slots = model.slots(contexts, lengths, node)
+        return Bits(slots, np.take(self.turns, at), np.minimum(node, TOKEN_CELLS - 1)), token
 
 
 def hashed(*parts: np.ndarray) -> np.ndarray:
@@ -284,7 +293,18 @@ def tokens_of(words: Words, lexicon: Lexicon) -> Tokens:
     before[inside] = ids[inside - 1]
     in_lexicon = (ids >= FIRST) & (ids < FIRST + len(lexicon.words))
     lowest = np.where(in_lexicon, np.minimum(ids, ANCHORS - 1), ANCHORS - 1)
-    return Tokens(ids, offsets, np.stack([before, lowest_before(lowest, place, REACH)]))
+    return Tokens(ids.astype(np.int32), offsets, np.stack([before, lowest_before(lowest, place, REACH)], dtype=np.int32, casting="same_kind"))
+
+
+def split_pieces(texts: pa.Array, lexicon: Lexicon) -> tuple[list[Words], Tokens]:
+    """(words of each piece of at most ``PIECE_BYTES`` or of one text; the tokens of all texts)."""
+    whole = pa.record_batch({"text": texts})
+    sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+    words = [split_words(lowered(part.column("text"))) for part in slices_by(whole, sizes, PIECE_BYTES)]
+    parts = [tokens_of(some, lexicon) for some in words]
+    lengths = np.concatenate([[0], *[np.diff(t.offsets) for t in parts]])
+    ids, keys = np.concatenate([t.ids for t in parts]), np.concatenate([t.keys for t in parts], axis=1)
+    return words, Tokens(ids, np.cumsum(lengths), keys)
 
 
 def lowest_before(values: np.ndarray, place: np.ndarray, reach: int) -> np.ndarray:
@@ -309,15 +329,31 @@ def lowest_before(values: np.ndarray, place: np.ndarray, reach: int) -> np.ndarr
 
 def distinct_tokens(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(first places of different tokens in different contexts; which of them each token is; how often each occurs)."""
+    n = len(tokens.ids)
     one, anchor = tokens.keys
-    packed = (anchor << 17 | one) << 17 | tokens.ids
-    _, chosen, back, times = np.unique(packed, return_index=True, return_inverse=True, return_counts=True)
-    return chosen, back, times
-
-
-def token_contexts(keys: np.ndarray) -> np.ndarray:
+    packed = (anchor.astype(np.int64) << ID_BITS | one) << ID_BITS | tokens.ids
+    # Sorted with their places behind them, plain numbers sort several times faster than by ``argsort``.
+    place_bits = max(1, (n - 1).bit_length())
+    if 2 * ID_BITS + (ANCHORS - 1).bit_length() + place_bits < 64:
+        packed <<= place_bits
+        packed |= np.arange(n)
+        packed.sort()
+        order = packed & ((1 << place_bits) - 1)
+        packed >>= place_bits
+    else:
+        order = np.argsort(packed, kind="stable")
+        packed = packed[order]
+    fresh = np.concatenate([[True], packed[1:] != packed[:-1]])[:n]
+    del packed
+    starts = np.flatnonzero(fresh)
+    back = np.empty(n, np.int32)
+    back[order] = np.cumsum(fresh, dtype=np.int32) - 1
+    return order[starts], back, np.diff(np.append(starts, n))
+
+
+def token_contexts(keys: np.ndarray) -> list[np.ndarray | None]:
     one, anchor = keys
-    return np.stack([np.zeros(len(one), np.uint64), hashed(anchor), hashed(one)])
+    return [None, hashed(anchor), hashed(one)]
 
 
 def learn_tokens(model: Mixing, codes: Codes, tokens: Tokens) -> None:
@@ -351,14 +387,16 @@ def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     coded[np.arange(len(data)) + owner] = data
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
     place = np.arange(len(coded)) - np.repeat(offsets[:-1], lengths + 1)
-    last = np.zeros((5, len(coded)), np.int64)
+    last = np.zeros((5, len(coded)), np.int16)
     for k in range(1, 6):
         inside = np.flatnonzero(place >= k)
-        last[k - 1, inside] = coded[inside - k].astype(np.int64) + 1
-    contexts = [hashed(last[0], last[1])]
-    for k in range(2, 5):
-        contexts.append(hashed(contexts[-1], last[k]))
-    return coded, offsets, np.stack(contexts)
+        last[k - 1, inside] = coded[inside - k].astype(np.int16) + 1
+    del owner, place, inside
+    contexts = np.empty((4, len(coded)), np.uint64)
+    contexts[0] = hashed(last[0], last[1])
+    for k in range(1, 4):
+        contexts[k] = hashed(contexts[k - 1], last[k + 1])
+    return coded, offsets, contexts
 
 
 def spelled_bits(model: Mixing, data: np.ndarray, contexts: np.ndarray) -> Bits:
@@ -368,7 +406,7 @@ def spelled_bits(model: Mixing, data: np.ndarray, contexts: np.ndarray) -> Bits:
     for k in range(1, 8):
         node[:, k] = node[:, k - 1] * 2 + bit[:, k - 1]
     node = node.ravel()
-    return Bits(model.slots(contexts, np.repeat(np.arange(len(data)), 8), node), bit.ravel(), node)
+    return Bits(model.slots(contexts, 8, node), bit.ravel(), node)
 
 
 def learn_spelling(model: Mixing, words: pa.Array, times: np.ndarray) -> None:
@@ -397,9 +435,12 @@ def spelling_costs(model: Mixing, words: pa.Array, heads: np.ndarray) -> np.ndar
 def learned(rows: DataFrame, fresh: Callable[[], Mixing], feed: Callable[[Mixing, pa.RecordBatch], None]) -> Mixing:
     """One model out of all ``rows``: each task feeds its rows to a ``fresh`` one, the states are added up part by part.
 
-    A state has a fixed size. At most ``FAN_IN`` tasks meet in a group of the first sum, their sums in the second.
+    A state has a fixed size, and there is one for each task, so there are as many tasks as the cluster takes at once
+    (twice, for balance), however many parts the input has. At most ``FAN_IN`` tasks meet in a group of the first sum,
+    their sums in the second.
     """
     schema = "part int, task int, state binary"
+    rows = rows.coalesce(2 * rows.sparkSession.sparkContext.defaultParallelism)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = fresh()
@@ -472,7 +513,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def feed_tokens(model: Mixing, batch: pa.RecordBatch) -> None:
         for part in slices(batch, "text"):
-            learn_tokens(model, shared_lexicon.value.codes, tokens_of(split_words(lowered(texts_of(part, "text"))), shared_lexicon.value))
+            learn_tokens(model, shared_lexicon.value.codes, split_pieces(texts_of(part, "text"), shared_lexicon.value)[1])
 
     tokens_model = learned(training.select("text"), lambda: Mixing(TOKEN_SLOTS, TOKEN_CELLS), feed_tokens)
 
@@ -482,10 +523,11 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     spread = others.repartition(spark.sparkContext.defaultParallelism, "word")
     spelling_model = learned(spread.where("trained > 0"), lambda: Mixing(SPELL_SLOTS, SPELL_CELLS), feed_spelling)
-    shared_models = spark.sparkContext.broadcast((tokens_model, spelling_model))
+    # One for each job: a worker holds only what it uses.
+    shared_tokens, shared_spelling = spark.sparkContext.broadcast(tokens_model), spark.sparkContext.broadcast(spelling_model)
 
     def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared_models.value[1].ready()
+        model = shared_spelling.value.ready()
         for batch in batches:
             for part in slices_by(batch, pc.binary_length(batch.column("word")).to_numpy(zero_copy_only=False), WORD_BYTES):
                 costs = spelling_costs(model, part.column("word").cast(pa.large_utf8()), shared_lexicon.value.heads)
@@ -501,33 +543,37 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared_lexicon.value
-        model = shared_models.value[0].ready()
+        model = shared_tokens.value.ready()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = texts_of(part, "text")
-                found = split_words(lowered(texts))
-                tokens = tokens_of(found, lexicon)
+                pieces, tokens = split_pieces(texts, lexicon)
                 costs = token_costs(model, lexicon.codes, tokens)
-                at = tokens.offsets
-                owner = np.repeat(np.arange(len(texts)), np.diff(at))
-                # Words outside the lexicon, once a text, with their number of occurrences.
-                rare = np.flatnonzero((tokens.ids == RARE) | (tokens.ids >= spelled_from))
-                size = max(1, len(found.distinct))
-                pairs, times = np.unique(owner[rare] * size + found.codes[rare - owner[rare]], return_counts=True)
-                bounds = np.searchsorted(pairs // size, np.arange(len(texts) + 1)).astype(np.int32)
-                spelled_words = found.distinct.take(pa.array(pairs % size)).cast(pa.string())
-                listed_words = pa.StructArray.from_arrays([spelled_words, pa.array(times, pa.int64())], ["word", "times"])
-                columns = [
-                    part.column("doc_id"),
-                    part.column("held_out"),
-                    pa.array(np.diff(at), pa.int64()),
-                    pa.array(sums(known_of[tokens.ids].astype(float), at).astype(np.int64)),
-                    pa.array(sums(base_of[tokens.ids], at)),
-                    pa.array(sums(costs, at)),
-                    pc.binary_length(texts).cast(pa.int64()),
-                    pa.ListArray.from_arrays(pa.array(bounds), listed_words),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "cost", "n_bytes", "rare"])
+                row = 0
+                for found in pieces:
+                    n = len(found.offsets) - 1
+                    here = slice(tokens.offsets[row], tokens.offsets[row + n])
+                    ids, at = tokens.ids[here], tokens.offsets[row : row + n + 1] - tokens.offsets[row]
+                    owner = np.repeat(np.arange(n), np.diff(at))
+                    # Words outside the lexicon, once a text, with their number of occurrences.
+                    rare = np.flatnonzero((ids == RARE) | (ids >= spelled_from))
+                    size = max(1, len(found.distinct))
+                    pairs, times = np.unique(owner[rare] * size + found.codes[rare - owner[rare]], return_counts=True)
+                    bounds = np.searchsorted(pairs // size, np.arange(n + 1)).astype(np.int32)
+                    spelled_words = found.distinct.take(pa.array(pairs % size)).cast(pa.string())
+                    listed_words = pa.StructArray.from_arrays([spelled_words, pa.array(times, pa.int64())], ["word", "times"])
+                    columns = [
+                        part.column("doc_id").slice(row, n),
+                        part.column("held_out").slice(row, n),
+                        pa.array(np.diff(at), pa.int64()),
+                        pa.array(sums(known_of[ids].astype(float), at).astype(np.int64)),
+                        pa.array(sums(base_of[ids], at)),
+                        pa.array(sums(costs[here], at)),
+                        pc.binary_length(texts.slice(row, n)).cast(pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(bounds), listed_words),
+                    ]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "known", "base", "cost", "n_bytes", "rare"])
+                    row += n
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, cost double, n_bytes long"

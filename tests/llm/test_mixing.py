@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -79,6 +80,27 @@ def test_lower_case_of_slices():
     assert [lowered(texts_of(batch.slice(i, 1), "text")).to_pylist()[0] for i in range(4)] == ["first É one", "", "second × b", ""]
 
 
+def test_slices_in_pieces():
+    """Tokens of a slice are the same as split at once, equal ones are found by plain counting, and little memory is held."""
+    lexicon, _, _ = trained(corpus())
+    some = texts(*corpus().to_pylist(), "", *["the riverbank Unseen word3x " * 20_000, "la casas 5 " * 40_000] * 2, "end")
+    whole = m.tokens_of(split_words(lowered(some)), lexicon)
+    tracemalloc.start()
+    words, tokens = m.split_pieces(some, lexicon)
+    found = m.distinct_tokens(tokens)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(words) > 1 and sum(len(w.offsets) - 1 for w in words) == len(some)
+    assert all(np.array_equal(a, b) for a, b in zip(tokens, whole))
+    rows = list(zip(*tokens.keys.tolist(), tokens.ids.tolist()))
+    first = {row: i for i, row in reversed(list(enumerate(rows)))}
+    counted = Counter(rows)
+    assert sorted(found[0].tolist()) == sorted(first.values())
+    assert [rows[i] for i in found[0][found[1]]] == rows
+    assert found[2].tolist() == [counted[rows[i]] for i in found[0]]
+    assert most < 50 * len(rows)
+
+
 def test_costs_equal_a_plain_scorer():
     lexicon, model, spelling = trained(corpus(), most=8)
     listed = {w: i + m.FIRST for i, w in enumerate(lexicon.words.to_pylist())}
