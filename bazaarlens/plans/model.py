@@ -63,6 +63,14 @@ class Model:
             return self
         return self.storing("order_base", cut_lineage(self.order_base))
 
+    @cached_property
+    def with_order_facts_kept(self) -> "Model":
+        """Like ``with_orders_kept`` for queries that ask for no number of sellers or products of an order. Both are
+        distinct counts, for which Spark makes three rows of each item; a written column is never pruned."""
+        if "order_base" in self.stored:
+            return self
+        return self.storing("order_base", cut_lineage(self.order_base.drop("seller_count", "product_count")))
+
     @property
     def spark(self):
         return self.tables["orders"].sparkSession

@@ -54,7 +54,7 @@ def _as_struct(one_row: DataFrame) -> Column:
 
 def kpi_summary(model: Model) -> DataFrame:
     """One row of headline figures, built from scalar subqueries (no joins)."""
-    model = model.with_orders_kept
+    model = model.with_order_facts_kept
     categories = growth.category_revenue(model, model.delivered_items)
     performance = strategic.seller_performance(model)
     return model.spark.range(1).select(

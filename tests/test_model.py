@@ -172,3 +172,21 @@ def test_identities(spark):
     assert metrics.agg(F.sum("orders_month")).first()[0] <= totals[1]
     again = repurchase.repurchase_categories(model).agg(F.sum("item_revenue")).first()[0]
     assert again == pytest.approx(repurchase.repurchase_kpis(model).first()["revenue_repurchase_customers"])
+
+
+def test_headline_figures_make_no_rows(spark, monkeypatch, capsys):
+    """No copy of the orders that kpi_summary writes multiplies the items, as distinct counts do."""
+    import __spark_entry__ as contract
+    from bazaarlens.plans import model as module, report
+    from conftest import DATA
+
+    plans, write = [], module.cut_lineage
+
+    def kept(df):
+        df.explain()
+        plans.append(capsys.readouterr().out)
+        return write(df)
+
+    monkeypatch.setattr(module, "cut_lineage", kept)
+    report.kpi_summary(contract.model(spark, f"{DATA}/sf0.001"))
+    assert plans and not any("Expand" in plan for plan in plans)
