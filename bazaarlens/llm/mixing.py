@@ -60,6 +60,8 @@ ID_BITS = (FIRST + LEXICON + ESCAPES - 1).bit_length()
 TOKEN_SLOTS = (17, 20, 20)
 SPELL_SLOTS = (18, 19, 19, 19)
 TOKEN_CELLS, SPELL_CELLS = 512, 256
+# Words outside the lexicon that a part of the join with the texts may hold in a hash table, on average.
+HASHED_WORDS = 500_000
 STEP_TOKENS = 4_096
 STEP_BYTES = 4_096
 WORD_BYTES = 1_000_000
@@ -492,7 +494,7 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     training = rows.where(~F.col("held_out"))
     vocabulary = cut_lineage(count_words(rows))
     n_ends = training.count()
-    in_words, distinct = vocabulary.where("trained > 0").agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count(F.lit(1))).first()
+    in_words, distinct, n_words = vocabulary.agg(F.coalesce(F.sum("trained"), F.lit(0)), F.count_if(F.col("trained") > 0), F.count(F.lit(1))).first()
     total, distinct = in_words + n_ends, distinct + (n_ends > 0)
     unseen = math.log10(total + distinct + 1)
 
@@ -579,6 +581,9 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, cost double, n_bytes long"
     scored = rows.mapInArrow(score, f"{schema}, rare array<struct<word: string, times: long>>")
     scored = cut_lineage(scored.withColumn("row", F.monotonically_increasing_id()))
+    # A hash table of a part's words saves the sort of all occurrences; it does not spill, so its size has a bound.
+    if n_words <= HASHED_WORDS * int(spark.conf.get("spark.sql.shuffle.partitions")):
+        priced = priced.hint("shuffle_hash")
     rare_words = scored.select("row", F.inline("rare")).join(priced, "word")
     rest = rare_words.groupBy("row").agg(
         F.sum(F.when(F.col("trained") > 0, F.col("times")).otherwise(0)).alias("more_known"),

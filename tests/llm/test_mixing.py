@@ -75,6 +75,20 @@ def test_scores(spark):
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and r["score"] < 0
 
 
+def test_words_are_priced_without_a_sort(spark, monkeypatch, capsys):
+    """By a hash table while the words of a part are few, by a sort beyond; the same scores."""
+    found = []
+    for most, join in ((m.HASHED_WORDS, "ShuffledHashJoin"), (0, "")):
+        monkeypatch.setattr(m, "HASHED_WORDS", most)
+        scored = op6_lm_scoring(spark, f"{DATA}/sf0.001")
+        scored.explain()
+        plan = capsys.readouterr().out
+        assert join in plan and (join or "ShuffledHashJoin" not in plan)
+        found.append({r["doc_id"]: (r["n_known"], r["score"]) for r in scored.collect()})
+    assert found[0].keys() == found[1].keys()
+    assert all(a[0] == found[1][i][0] and math.isclose(a[1], found[1][i][1], rel_tol=1e-4) for i, a in found[0].items())
+
+
 def test_lower_case_of_slices():
     batch = pa.record_batch({"text": pa.array(["First É One", None, "seCond × B", ""])})
     assert [lowered(texts_of(batch.slice(i, 1), "text")).to_pylist()[0] for i in range(4)] == ["first É one", "", "second × b", ""]
