@@ -21,9 +21,12 @@ predicts a step from what it has seen so far, moves the weights and the map by t
 then counts the step. Counts and maps of the tasks add up; their weights are averaged by
 the number of bits. Scoring uses the state after the last step.
 
+What is equal is computed once: a token in equal contexts of a slice, the first bits of
+codes that begin alike there, a byte after equal bytes in the words of a slice.
+
 The tables have a fixed size, so they may be broadcast. What has none, the counts of
 all words, stays in Spark: words outside the lexicon are counted, spelled and joined to
-the texts there.
+the texts there, except the most frequent of them, whose prices are sent to all tasks.
 
 Defined results: a null text is an empty one, which has the end only; with no training
 document all counts are 0, every bit costs one bit and only the end and the plain escape
@@ -59,12 +62,20 @@ ID_BITS = (FIRST + LEXICON + ESCAPES - 1).bit_length()
 # Bits of the slot numbers in the table of each context.
 TOKEN_SLOTS = (17, 20, 20)
 SPELL_SLOTS = (18, 19, 19, 19)
+SPELL_REACH = len(SPELL_SLOTS) + 1
 TOKEN_CELLS, SPELL_CELLS = 512, 256
 # Words outside the lexicon that a part of the join with the texts may hold in a hash table, on average.
 HASHED_WORDS = 500_000
 STEP_TOKENS = 4_096
+SCORED_TOKENS = 32_768
 STEP_BYTES = 4_096
+# Bytes of a span that is predicted together: this part of those seen before it, within bounds.
+SPANS_SEEN, MOST_SPAN = 8, 1 << 17
 WORD_BYTES = 1_000_000
+# Words outside the lexicon whose prices are sent to all tasks, at most; the others are joined to the texts.
+COMMON_WORDS = 1 << 17
+# Words of slices that are added up in a task before they are handed on; rows of a batch that is handed on.
+COUNTED_WORDS, OUT_ROWS = 300_000, 50_000
 # Texts of a slice are split into words in parts of so many bytes: what splitting needs is a multiple of its text.
 PIECE_BYTES = 500_000
 BATCH_BITS = 16_384
@@ -75,6 +86,7 @@ MAP_STEPS = 32
 MAP_PRIOR = 30.0
 LEVELS = (0.5, 2.5, 12, 100)
 GATES = (len(LEVELS) + 1) ** 2
+LEVEL_MASK = (1 << len(LEVELS).bit_length()) - 1
 # Numbers in a shipped part of a model's state; tasks whose parts are added in one group.
 CHUNK = 1 << 14
 FAN_IN = 64
@@ -103,8 +115,8 @@ def gates(longer: np.ndarray, long: np.ndarray) -> np.ndarray:
 
 def places(mixed: np.ndarray, cell: np.ndarray) -> np.ndarray:
     """Places in the adaptive map."""
-    step = ((mixed + 8) * (MAP_STEPS / 16)).astype(np.int64)
-    return cell * MAP_STEPS + np.clip(step, 0, MAP_STEPS - 1)
+    step = np.minimum(np.maximum((mixed + np.float32(8)) * np.float32(MAP_STEPS / 16), np.float32(0)), np.float32(MAP_STEPS - 1))
+    return cell * MAP_STEPS + step.astype(np.int64)
 
 
 class Mixing:
@@ -118,15 +130,16 @@ class Mixing:
         self.map = np.zeros((cells * MAP_STEPS, 2), np.float32)
         self.bits = 0
 
-    def slots(self, contexts: Sequence[np.ndarray | None], times: np.ndarray | int, node: np.ndarray) -> np.ndarray:
+    def slots(self, contexts: Sequence[np.ndarray | None], node: np.ndarray, times: np.ndarray | int = 1) -> np.ndarray:
         """Slots of the bits at ``node`` in the contexts (hashes, or None: the node alone) of their units, each for ``times`` bits."""
         out = np.empty((len(contexts), len(node)), np.int64)
         step = node.astype(np.uint64) * np.uint64(ODD[0])
         for k, bits in enumerate(self.slot_bits):
             if contexts[k] is None:
-                place = step >> np.uint64(64 - bits)
+                place = node & ((1 << bits) - 1)
             else:
-                place = np.repeat(contexts[k] * np.uint64(ODD[0]), times)
+                place = contexts[k] * np.uint64(ODD[0])
+                place = place if len(place) == len(node) else np.repeat(place, times)
                 place += step
                 place >>= np.uint64(64 - bits)
             np.add(place.view(np.int64), self.starts[k], out=out[k])
@@ -135,8 +148,10 @@ class Mixing:
     def predictions(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(stretched predictions, gates) from the counts."""
         seen = np.take(self.counts.view(np.float64).ravel(), slots).view(np.float32)
-        zeros, ones = seen[:, ::2], seen[:, 1::2]
-        return np.log((ones + PRIOR) / (zeros + PRIOR)), gates(zeros[-1] + ones[-1], zeros[-2] + ones[-2])
+        gate = gates(seen[-1, ::2] + seen[-1, 1::2], seen[-2, ::2] + seen[-2, 1::2])
+        seen += PRIOR
+        np.log(seen, out=seen)
+        return seen[:, 1::2] - seen[:, ::2], gate
 
     def mixed(self, x: np.ndarray, gate: np.ndarray) -> np.ndarray:
         """The weighted sum of the predictions, in the logistic domain."""
@@ -146,41 +161,55 @@ class Mixing:
         return np.clip(total, -16, 16, out=total)
 
     def ready(self) -> Mixing:
-        """Tables that scoring reads, made from the counts."""
+        """Tables that scoring reads, made from the counts: each look-up gives all that is known of a slot or a place."""
         total = self.map.sum(axis=1) + MAP_PRIOR
-        self.came, self.rest = (self.map / total[:, None]).ravel(), (MAP_PRIOR / total).astype(np.float32)
+        # (share that came true, share left to the mixed prediction) of each place and bit.
+        self.refined = np.empty((*self.map.shape, 2), np.float32)
+        self.refined[..., 0], self.refined[..., 1] = self.map / total[:, None], (MAP_PRIOR / total)[:, None]
+        # The stretched predictions, with the level instead of the last bits of the fraction.
         self.stretched = np.log((self.counts[:, 1] + PRIOR) / (self.counts[:, 0] + PRIOR))
-        self.level = level(self.counts.sum(axis=1))
+        last = self.stretched.view(np.int32)
+        last &= ~LEVEL_MASK
+        last |= level(self.counts.sum(axis=1))
         return self
 
     def costs(self, bits: Bits) -> np.ndarray:
         """log10 probability of each bit; the model is ``ready``."""
         x = np.take(self.stretched, bits.slots)
-        gate = np.take(self.level, bits.slots[-1]) * np.int64(len(LEVELS) + 1) + np.take(self.level, bits.slots[-2])
-        mixed = self.mixed(x, gate)
+        levels = x[-2:].view(np.int32) & np.int32(LEVEL_MASK)
+        mixed = self.mixed(x, levels[1] * np.int64(len(LEVELS) + 1) + levels[0])
         # The probability of the bit itself, not of a one: no digits are lost in a difference.
         plain = squash(np.where(bits.bit == 1, mixed, -mixed))
-        place = places(mixed, bits.cell)
-        return np.log((plain + np.take(self.came, place * 2 + bits.bit) + np.take(self.rest, place) * plain) / 2) * np.float32(math.log10(math.e))
+        refined = np.take(self.refined.view(np.float64).ravel(), places(mixed, bits.cell) * 2 + bits.bit).view(np.float32)
+        return np.log((plain + refined[::2] + refined[1::2] * plain) / 2) * np.float32(math.log10(math.e))
+
+    def learn(self, bits: Bits, times: np.ndarray) -> None:
+        """Predicts the bits from what was seen before them, then counts each ``times``."""
+        self.fit(bits)
+        self.count(bits, times)
 
-    def learn(self, bits: Bits, times: np.ndarray | None = None) -> None:
-        """Predicts the bits from what was seen before them, moves weights and map, then counts each ``times`` (once)."""
+    def fit(self, bits: Bits, often: np.ndarray | None = None) -> None:
+        """Predicts the bits from what was counted so far, each as ``often`` as it comes (once), and moves weights and map."""
         for first in range(0, len(bits.bit), BATCH_BITS):
             at = slice(first, first + BATCH_BITS)
             bit = bits.bit[at]
             x, gate = self.predictions(bits.slots[:, at])
             mixed = self.mixed(x, gate)
             plain = squash(mixed)
-            wrong, bend = bit - plain, plain * (1 - plain)
+            wrong, bend = bit.astype(np.float32) - plain, plain * (1 - plain)
+            if often is not None:
+                wrong *= often[at]
+                bend *= often[at]
             for k in range(len(x)):
                 slope = np.bincount(gate, weights=wrong * x[k], minlength=GATES)
                 self.weights[:, k] += RATE * slope / (STEADY + np.bincount(gate, weights=bend * x[k] ** 2, minlength=GATES))
-            np.add.at(self.map.reshape(-1), places(mixed, bits.cell[at]) * 2 + bit, np.float32(1))
-        flat = self.counts.reshape(-1)
-        added = np.float32(1) if times is None else times.astype(np.float32)
+            np.add.at(self.map.reshape(-1), places(mixed, bits.cell[at]) * 2 + bit, np.float32(1) if often is None else often[at])
+        self.bits += len(bits.bit) if often is None else int(often.sum(dtype=float))
+
+    def count(self, bits: Bits, times: np.ndarray) -> None:
+        flat, added = self.counts.reshape(-1), times.astype(np.float32)
         for each in bits.slots:
             np.add.at(flat, each * 2 + bits.bit, added)
-        self.bits += len(bits.bit)
 
     def state(self) -> np.ndarray:
         """What adds up over tasks, as one vector: counts, map, weights times bits, bits (in units of ``SHARE``)."""
@@ -224,8 +253,11 @@ class Codes:
             front = below
         self.lengths = np.array([len(nodes) for nodes, _ in paths], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)])[:-1]
-        self.nodes = np.array([n for nodes, _ in paths for n in nodes], np.int64)
-        self.turns = np.array([t for _, turns in paths for t in turns], np.int64)
+        # Each bit of each code: twice its node, and the turn taken there.
+        self.edges = np.array([2 * n + t for nodes, turns in paths for n, t in zip(nodes, turns)], np.int64)
+        # Place of each symbol from left to right in the tree: codes that begin alike are neighbours.
+        self.rank = np.empty(len(counts), np.int64)
+        self.rank[sorted(range(len(counts)), key=lambda s: paths[s][1])] = np.arange(len(counts))
 
     def bits(self, model: Mixing, contexts: Sequence[np.ndarray | None], ids: np.ndarray) -> tuple[Bits, np.ndarray]:
         """(bits of the codes of ``ids`` in their ``contexts``, the token of each bit)."""
@@ -234,9 +266,41 @@ class Codes:
         before = np.cumsum(lengths) - lengths
         at = np.repeat(self.starts[ids] - before, lengths)
         at += np.arange(len(token))
-        node = np.take(self.nodes, at)
-        slots = model.slots(contexts, lengths, node)
-        return Bits(slots, np.take(self.turns, at), np.minimum(node, TOKEN_CELLS - 1)), token
+        edge = np.take(self.edges, at)
+        node = edge >> 1
+        slots = model.slots(contexts, node, lengths)
+        return Bits(slots, edge & 1, np.minimum(node, TOKEN_CELLS - 1)), token
+
+    def costs(self, model: Mixing, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """log10 probabilities of ``ids`` after their ``keys``, sorted by keys and ``rank``.
+
+        Codes are gone through together, a bit at a time: where neighbours have the same keys and the same
+        bits so far, they share a look-up."""
+        out = np.zeros(len(ids))
+        contexts = token_contexts(keys)
+        group = np.cumsum(np.concatenate([[False], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])[: len(ids)])
+        row, at, end = np.arange(len(ids)), self.starts[ids], self.starts[ids] + self.lengths[ids]
+        total = np.zeros(len(ids), np.float32)
+        while True:
+            done = at == end
+            if done.any():
+                out[row[done]] = total[done]
+                left = np.flatnonzero(~done)
+                row, at, end, group, total = row[left], at[left], end[left], group[left], total[left]
+            if not len(row):
+                return out
+            edge = np.take(self.edges, at)
+            fresh = np.ones(len(edge) + 1, bool)
+            np.not_equal(edge[1:], edge[:-1], out=fresh[1:-1])
+            fresh[1:-1] |= group[1:] != group[:-1]
+            bounds = np.flatnonzero(fresh)
+            first = bounds[:-1]
+            edge, unit = edge[first], row[first]
+            node = edge >> 1
+            slots = model.slots([None if c is None else c[unit] for c in contexts], node)
+            costs = model.costs(Bits(slots, edge & 1, np.minimum(node, TOKEN_CELLS - 1)))
+            total += np.repeat(costs, np.diff(bounds))
+            at += 1
 
 
 def hashed(*parts: np.ndarray) -> np.ndarray:
@@ -329,11 +393,13 @@ def lowest_before(values: np.ndarray, place: np.ndarray, reach: int) -> np.ndarr
         window, width = np.minimum(window, back(window, width)), width * 2
 
 
-def distinct_tokens(tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first places of different tokens in different contexts; which of them each token is; how often each occurs)."""
+def distinct_tokens(tokens: Tokens, rank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first places of different tokens in different contexts; which of them each token is; how often each occurs).
+
+    They are sorted by context, then by the ``rank`` of their symbol (its number)."""
     n = len(tokens.ids)
     one, anchor = tokens.keys
-    packed = (anchor.astype(np.int64) << ID_BITS | one) << ID_BITS | tokens.ids
+    packed = (anchor.astype(np.int64) << ID_BITS | one) << ID_BITS | (tokens.ids if rank is None else rank[tokens.ids])
     # Sorted with their places behind them, plain numbers sort several times faster than by ``argsort``.
     place_bits = max(1, (n - 1).bit_length())
     if 2 * ID_BITS + (ANCHORS - 1).bit_length() + place_bits < 64:
@@ -370,35 +436,58 @@ def learn_tokens(model: Mixing, codes: Codes, tokens: Tokens) -> None:
 
 
 def token_costs(model: Mixing, codes: Codes, tokens: Tokens) -> np.ndarray:
-    """log10 probability of each token. Equal tokens in equal contexts are looked up once."""
-    chosen, back, _ = distinct_tokens(tokens)
+    """log10 probability of each token. Equal tokens, and equal first bits of codes, in equal contexts are looked up once."""
+    chosen, back, _ = distinct_tokens(tokens, codes.rank)
     out = np.zeros(len(chosen))
-    for first in range(0, len(chosen), STEP_TOKENS):
-        some = chosen[first : first + STEP_TOKENS]
-        bits, token = codes.bits(model, token_contexts(tokens.keys[:, some]), tokens.ids[some])
-        out[first : first + len(some)] = np.bincount(token, weights=model.costs(bits), minlength=len(some))
+    ids, keys = tokens.ids[chosen], np.stack([key[chosen] for key in tokens.keys])
+    for first in range(0, len(chosen), SCORED_TOKENS):
+        at = slice(first, first + SCORED_TOKENS)
+        out[at] = codes.costs(model, keys[:, at], ids[at])
     return out[back]
 
 
-def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes of the words, each closed by a blank; offsets of the words; contexts of the bytes)."""
+def letters(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the words, each closed by a blank; offsets of the words; the bytes before each in its word, as one number)."""
     data, bounds = flat_bytes(words)
     lengths = np.diff(bounds)
     owner = np.repeat(np.arange(len(lengths)), lengths)
     coded = np.full(len(data) + len(lengths), BLANK, np.uint8)
     coded[np.arange(len(data)) + owner] = data
+    del owner
     offsets = np.concatenate([[0], np.cumsum(lengths + 1)])
-    place = np.arange(len(coded)) - np.repeat(offsets[:-1], lengths + 1)
-    last = np.zeros((5, len(coded)), np.int16)
-    for k in range(1, 6):
-        inside = np.flatnonzero(place >= k)
-        last[k - 1, inside] = coded[inside - k].astype(np.int16) + 1
-    del owner, place, inside
-    contexts = np.empty((4, len(coded)), np.uint64)
+    # 9 bits for each byte before, the nearest lowest, 0 where the word has none.
+    number = coded.astype(np.int64) + 1
+    before = np.zeros(len(coded), np.int64)
+    starts = offsets[:-1]
+    for k in range(min(SPELL_REACH, len(coded))):
+        before[k + 1 :] |= number[: len(coded) - k - 1] << (9 * k)
+    for k in range(SPELL_REACH):
+        near = starts + k
+        near = near[near < offsets[1:]]
+        before[near] &= (1 << 9 * k) - 1
+    return coded, offsets, before
+
+
+def spelling_contexts(before: np.ndarray) -> np.ndarray:
+    last = [before >> 9 * k & 511 for k in range(SPELL_REACH)]
+    contexts = np.empty((SPELL_REACH - 1, len(before)), np.uint64)
     contexts[0] = hashed(last[0], last[1])
-    for k in range(1, 4):
+    for k in range(1, SPELL_REACH - 1):
         contexts[k] = hashed(contexts[k - 1], last[k + 1])
-    return coded, offsets, contexts
+    return contexts
+
+
+def spelled(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of the words, each closed by a blank; offsets of the words; contexts of the bytes)."""
+    data, offsets, before = letters(words)
+    return data, offsets, spelling_contexts(before)
+
+
+def distinct_letters(data: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes that differ, or differ in the bytes before, where they come first; these bytes before; which of them each byte is)."""
+    found = pa.array(before << 8 | data).dictionary_encode()
+    distinct = found.dictionary.to_numpy()
+    return (distinct & 255).astype(np.uint8), distinct >> 8, found.indices.to_numpy()
 
 
 def spelled_bits(model: Mixing, data: np.ndarray, contexts: np.ndarray) -> Bits:
@@ -408,26 +497,43 @@ def spelled_bits(model: Mixing, data: np.ndarray, contexts: np.ndarray) -> Bits:
     for k in range(1, 8):
         node[:, k] = node[:, k - 1] * 2 + bit[:, k - 1]
     node = node.ravel()
-    return Bits(model.slots(contexts, 8, node), bit.ravel(), node)
+    return Bits(model.slots(contexts, node, 8), bit.ravel(), node)
 
 
 def learn_spelling(model: Mixing, words: pa.Array, times: np.ndarray) -> None:
-    data, offsets, contexts = spelled(words)
+    """Equal bytes after equal bytes of a span are predicted together, from what was counted before the span.
+
+    Spans grow with what the model has seen."""
+    data, offsets, before = letters(words)
     each = np.repeat(times, np.diff(offsets))
-    for first in range(0, len(data), STEP_BYTES):
-        at = slice(first, first + STEP_BYTES)
-        model.learn(spelled_bits(model, data[at], contexts[:, at]), np.repeat(each[at], 8))
+    first = 0
+    while first < len(data):
+        span = slice(first, first + min(MOST_SPAN, max(STEP_BYTES, model.bits // (8 * SPANS_SEEN))))
+        first = span.stop
+        letter, known, back = distinct_letters(data[span], before[span])
+        counted = np.bincount(back, weights=each[span], minlength=len(letter))
+        often = np.bincount(back, minlength=len(letter)).astype(np.float32)
+        # The first letters are frequent ones, the last ones are not: every step takes its share of both.
+        steps = -(-len(letter) // STEP_BYTES)
+        for some in range(steps):
+            at = slice(some, None, steps)
+            model.fit(spelled_bits(model, letter[at], spelling_contexts(known[at])), np.repeat(often[at], 8))
+        for some in range(steps):
+            at = slice(some, None, steps)
+            model.count(spelled_bits(model, letter[at], spelling_contexts(known[at])), np.repeat(counted[at], 8))
 
 
 def spelling_costs(model: Mixing, words: pa.Array, heads: np.ndarray) -> np.ndarray:
     """log10 probability of the bytes of each word and the blank after it, without a head that its escape stands for.
 
-    Steps are cut by bytes, also within a word."""
-    data, offsets, contexts = spelled(words)
-    out = np.zeros(len(data))
+    Equal bytes after equal bytes are looked up once. Steps are cut by bytes, also within a word."""
+    data, offsets, before = letters(words)
+    data, before, back = distinct_letters(data, before)
+    costs = np.zeros(len(data))
     for first in range(0, len(data), STEP_BYTES):
         at = slice(first, first + STEP_BYTES)
-        out[at] = model.costs(spelled_bits(model, data[at], contexts[:, at])).reshape(-1, 8).sum(axis=1)
+        costs[at] = model.costs(spelled_bits(model, data[at], spelling_contexts(before[at]))).reshape(-1, 8).sum(axis=1)
+    out = costs[back]
     told = offsets[:-1][escapes_of(words, heads) >= 0]
     for k in range(HEAD):
         out[told + k] = 0
@@ -472,21 +578,66 @@ def _part(part: int, task: int, state: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, ["part", "task", "state"])
 
 
+def merged(parts: list[pa.Table]) -> pa.Table:
+    """The sum of ``trained`` of each word."""
+    return pa.concat_tables(parts).group_by("word", use_threads=False).aggregate([("trained", "sum")]).rename_columns(["word", "trained"])
+
+
 def count_words(rows: DataFrame) -> DataFrame:
-    """(word, trained): every word and its occurrences in training documents, 0 for one that is only held out."""
+    """(word, trained): every word and its occurrences in training documents, 0 for one that is only held out.
+
+    A task adds up the words of some slices before it hands them on, as each slice has most of the common words again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text"):
                 found = split_words(lowered(texts_of(part, "text")))
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 counts = np.bincount(found.codes[np.repeat(train, np.diff(found.offsets))], minlength=len(found.distinct))
-                yield pa.RecordBatch.from_arrays([found.distinct.cast(pa.string()), pa.array(counts, pa.int64())], ["word", "trained"])
+                held.append(pa.table({"word": found.distinct.cast(pa.string()), "trained": pa.array(counts, pa.int64())}))
+                size += len(found.distinct)
+                if size > COUNTED_WORDS:
+                    yield from merged(held).to_batches(OUT_ROWS)
+                    held, size = [], 0
+                    # A worker lives on for other tasks, and would keep what it needed most.
+                    pa.default_memory_pool().release_unused()
+        if held:
+            yield from merged(held).to_batches(OUT_ROWS)
 
     counted = rows.select("text", "held_out").mapInArrow(run, "word string, trained long")
     return counted.groupBy("word").agg(F.sum("trained").alias("trained"))
 
 
+class Common(NamedTuple):
+    """Words outside the lexicon that occur most: with their counts and the price of their spelling."""
+
+    words: pa.Array
+    trained: np.ndarray
+    costs: np.ndarray
+
+
+def least_count(words: DataFrame, most: int) -> int | None:
+    """A count that at most ``most`` of ``words`` reach, from their number on each step of a scale."""
+    step = F.floor(F.log2("trained") * 4).alias("step")
+    steps = words.groupBy(step).agg(F.count(F.lit(1)).alias("n"), F.min("trained").alias("least")).collect()
+    least = None
+    for row in sorted(steps, key=lambda row: -row["least"]):
+        most -= row["n"]
+        if most < 0:
+            break
+        least = row["least"]
+    return least
+
+
+def places_in(listed: pa.Array, pieces: list[Words]) -> list[np.ndarray]:
+    """Place in ``listed`` of each distinct word of each piece, -1 where it is not there."""
+    words = pa.concat_arrays([found.distinct for found in pieces])
+    places = pc.fill_null(pc.index_in(words, value_set=listed), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+    pa.default_memory_pool().release_unused()
+    return np.split(places, np.cumsum([len(found.distinct) for found in pieces])[:-1])
+
+
 def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every row of ``docs``."""
     spark = docs.sparkSession
@@ -535,7 +686,14 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
                 costs = spelling_costs(model, part.column("word").cast(pa.large_utf8()), shared_lexicon.value.heads)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(costs)], ["word", "trained", "cost"])
 
-    priced = spread.mapInArrow(price, "word string, trained long, cost double")
+    price_schema = "word string, trained long, cost double"
+    short = others.where((F.col("trained") > 1) & (F.octet_length("word") <= LEXICON_BYTES))
+    least = least_count(short, COMMON_WORDS)
+    is_common = F.lit(False) if least is None else (F.col("trained") >= least) & (F.octet_length("word") <= LEXICON_BYTES)
+    table = others.where(is_common).mapInArrow(price, price_schema).toArrow()
+    common_words = table.column("word").combine_chunks().cast(pa.large_utf8())
+    shared_common = spark.sparkContext.broadcast(Common(common_words, table.column("trained").to_numpy(), table.column("cost").to_numpy()))
+    priced = spread.where(~is_common).mapInArrow(price, price_schema)
 
     base_of = np.log10(trained + 1) - unseen
     spelled_from = FIRST + len(words)
@@ -544,21 +702,30 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
     known_of = trained > 0
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = shared_lexicon.value
+        lexicon, common = shared_lexicon.value, shared_common.value
+        common_base = np.log10(common.trained + 1) - unseen
         model = shared_tokens.value.ready()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = texts_of(part, "text")
                 pieces, tokens = split_pieces(texts, lexicon)
                 costs = token_costs(model, lexicon.codes, tokens)
+                base, known = base_of[tokens.ids], known_of[tokens.ids]
                 row = 0
-                for found in pieces:
+                for found, listed_at in zip(pieces, places_in(common.words, pieces)):
                     n = len(found.offsets) - 1
                     here = slice(tokens.offsets[row], tokens.offsets[row + n])
                     ids, at = tokens.ids[here], tokens.offsets[row : row + n + 1] - tokens.offsets[row]
                     owner = np.repeat(np.arange(n), np.diff(at))
-                    # Words outside the lexicon, once a text, with their number of occurrences.
                     rare = np.flatnonzero((ids == RARE) | (ids >= spelled_from))
+                    listed = listed_at[found.codes[rare - owner[rare]]]
+                    told = np.flatnonzero(listed >= 0)
+                    place, listed = here.start + rare[told], listed[told]
+                    known[place] = True
+                    base[place] = common_base[listed]
+                    costs[place] += common.costs[listed]
+                    # The other words outside the lexicon, once a text, with their number of occurrences.
+                    rare = np.delete(rare, told)
                     size = max(1, len(found.distinct))
                     pairs, times = np.unique(owner[rare] * size + found.codes[rare - owner[rare]], return_counts=True)
                     bounds = np.searchsorted(pairs // size, np.arange(n + 1)).astype(np.int32)
@@ -568,8 +735,8 @@ def score_documents(docs: DataFrame, held_out: Column) -> DataFrame:
                         part.column("doc_id").slice(row, n),
                         part.column("held_out").slice(row, n),
                         pa.array(np.diff(at), pa.int64()),
-                        pa.array(sums(known_of[ids].astype(float), at).astype(np.int64)),
-                        pa.array(sums(base_of[ids], at)),
+                        pa.array(sums(known[here].astype(float), at).astype(np.int64)),
+                        pa.array(sums(base[here], at)),
                         pa.array(sums(costs[here], at)),
                         pc.binary_length(texts.slice(row, n)).cast(pa.int64()),
                         pa.ListArray.from_arrays(pa.array(bounds), listed_words),

@@ -212,3 +212,71 @@ def test_lowest_before():
     for reach in (1, 5, 16, 24):
         plain = [min([values[i - k] for k in range(1, reach + 1) if place[i] >= k], default=m.ANCHORS - 1) for i in range(300)]
         assert m.lowest_before(values, place, reach).tolist() == plain
+
+
+def counted_bits(monkeypatch, name):
+    """The number of bits that each call of a method of the model gets."""
+    bits, plain = [], getattr(m.Mixing, name)
+    monkeypatch.setattr(m.Mixing, name, lambda self, some, *more: bits.append(len(some.bit)) or plain(self, some, *more))
+    return bits
+
+
+def test_equal_work_is_done_once(monkeypatch):
+    """Bytes after equal bytes, and first bits of codes in equal contexts, are looked up once; repeats add nothing."""
+    lexicon, model, spelling = trained(corpus(), most=8)
+    looked = counted_bits(monkeypatch, "costs")
+    words = texts(*[f"{a}longend" for a in "abcdefgh"])
+    costs = m.spelling_costs(spelling, words, np.zeros(0))
+    # Eight first letters, five more places that still see them, and the rest of the word with its blank once.
+    assert sum(looked) == 8 * (8 + 5 * 8 + 3)
+    alone = [m.spelling_costs(spelling, texts(w), np.zeros(0))[0] for w in words.to_pylist()]
+    assert np.allclose(costs, alone, rtol=1e-6)
+    looked.clear()
+    some = m.tokens_of(split_words(lowered(corpus())), lexicon)
+    got = m.token_costs(model, lexicon.codes, some)
+    paths = set()
+    for one, anchor, own in zip(*some.keys.tolist(), some.ids.tolist()):
+        start = lexicon.codes.starts[own]
+        code = lexicon.codes.edges[start : start + lexicon.codes.lengths[own]].tolist()
+        paths.update((one, anchor, edge) for edge in code)
+    assert sum(looked) == len(paths)
+    bits, token = lexicon.codes.bits(model, m.token_contexts(some.keys), some.ids)
+    assert np.allclose(got, np.bincount(token, weights=model.costs(bits)), atol=1e-4)
+
+
+def test_spelling_learns_equal_bytes_together(monkeypatch):
+    fitted = counted_bits(monkeypatch, "fit")
+    model = m.Mixing(m.SPELL_SLOTS, m.SPELL_CELLS)
+    words = texts(*["straight"] * 400)
+    m.learn_spelling(model, words, np.arange(400))
+    assert sum(fitted) == 8 * 9 and model.bits == 400 * 8 * 9
+    assert model.counts.sum() == 4 * 8 * 9 * sum(range(400)) and model.map.sum() == 400 * 8 * 9
+
+
+def test_counts_of_slices_are_added_up(spark, monkeypatch):
+    """In a task before the shuffle, in parts of any size; the words are those of plain counting."""
+    rows = spark.createDataFrame([("A b b", False), ("b c", True), (None, False), ("a", False)] * 50, "text string, held_out boolean").coalesce(1)
+    for most in (0, 10**6):
+        monkeypatch.setattr(m, "COUNTED_WORDS", most)
+        assert dict(m.count_words(rows).collect()) == {"a": 100, "b": 100, "c": 0}
+    parts = [pa.table({"word": ["x", "y"], "trained": [1, 2]}), pa.table({"word": ["y"], "trained": [5]})]
+    assert sorted(zip(*m.merged(parts).to_pydict().values())) == [("x", 1), ("y", 7)]
+
+
+def test_common_words_are_priced_in_the_tasks(spark, monkeypatch):
+    """Whether a word outside the lexicon is sent to the tasks or joined to the texts, the scores are the same."""
+    monkeypatch.setattr(m, "LEXICON", 50)
+    found = []
+    for most in (0, 40, 10**6):
+        monkeypatch.setattr(m, "COMMON_WORDS", most)
+        rows = op6_lm_scoring(spark, f"{DATA}/sf0.001").collect()
+        found.append({r["doc_id"]: (r["n_known"], r["base_score"], r["score"]) for r in rows})
+    for other in found[1:]:
+        assert other.keys() == found[0].keys()
+        assert all(a[0] == other[i][0] and np.allclose(a[1:], other[i][1:], rtol=1e-4) for i, a in found[0].items())
+
+
+def test_least_count(spark):
+    words = spark.createDataFrame([(n,) for n in (2, 2, 3, 5, 5, 9, 100)], "trained long")
+    assert [m.least_count(words, most) for most in (0, 1, 2, 4, 5, 100)] == [None, 100, 9, 5, 3, 2]
+    assert m.least_count(words.limit(0), 5) is None
